@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, htmltext, pii, secrets, tokenbin
+from . import ann, bpe, decontam, htmltext, ngramjoin, pii, secrets, tokenbin
 from .common import shared_folder, table
 
 
@@ -46,6 +46,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -75,6 +79,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -99,9 +107,33 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
 
 
+#: Exact pairs and components; the texts of the same words are one class here too.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS k
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 10 * p.c >= 8 * (x.n + y.n - p.c)),
+c AS (
+  SELECT r AS a, r AS b FROM d
+  UNION
+  SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+SELECT d.doc_id, m.class_id, CAST(coalesce(t.n_links, 0) AS BIGINT) AS n_links
+FROM d
+JOIN (SELECT c.a, min(e.doc_id) AS class_id FROM c JOIN d e ON e.r = c.b GROUP BY c.a) m ON m.a = d.r
+LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) t ON t.a = d.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op3_pii, op5_secrets, op7_html_text, op8_decontamination, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_token_binary, op3_pii, op5_secrets, op6_ngram_join, op7_html_text, op8_decontamination, op9_byte_bpe, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op6_ngram_join": OP6_SQL, "op8_decontamination": OP8_SQL}
