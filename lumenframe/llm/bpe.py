@@ -2,8 +2,8 @@
 
 A vocabulary of ranks (one base64 token and its rank a line) becomes a ``tokenizers`` BPE model: bytes map to the
 printable characters of the byte-level alphabet, and each way to split a token into two known tokens becomes a merge
-with that token's rank. Texts are cut before single spaces, where the pattern always starts a new piece, and each
-distinct cut of a batch is encoded once; a text with runs of white space that this rule doesn't cover is encoded whole.
+with that token's rank. Texts are cut before single spaces, where the pattern always starts a new piece, and a worker encodes
+each distinct cut once; a text with runs of white space that this rule doesn't cover is encoded whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import base64
 import codecs
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,12 @@ from .common import prepare, text_column
 SPACE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space inside a longer run of white space isn't always the start of a piece.
 _INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
+#: Characters over which the pattern needs no Unicode tables, and the pattern over them.
+_PLAIN = re.compile("[ -~\t\n\r\u00a1-\u024f]*")
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\r"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Distinct cuts kept per worker before the cache starts anew; only speed depends on it.
-CACHE_CUTS = 300_000
+CACHE_CUTS = 700_000
 
 
 def byte_alphabet() -> list[str]:
@@ -41,6 +46,9 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+_LETTERS = dict(enumerate(byte_alphabet()))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
@@ -73,37 +81,46 @@ def file_tokenizer(path: str):
     return out
 
 
+class _Cuts(dict):
+    """Ids by cut, worked out when a cut is first met. A cut of ASCII or Latin letters is split here, by the same pattern over
+    those characters alone, and its pieces go to the tokenizer's model; any other cut takes the whole tokenizer."""
+
+    def __init__(self, tokenizer, lead: str) -> None:
+        super().__init__()
+        self.whole, self.model, self.lead = tokenizer, tokenizer.model, lead
+
+    def __missing__(self, cut: str) -> bytes:
+        text = self.lead + cut
+        if _PLAIN.fullmatch(text):
+            ids = array("I")
+            for piece in _PIECES.findall(text):
+                ids.extend([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+        else:
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids)
+        self[cut] = out = ids.tobytes()
+        return out
+
+
 class CutEncoder:
-    """Token ids of whole texts as little-endian 32-bit integers, by way of the distinct cuts of a batch."""
+    """Token ids of whole texts as little-endian 32-bit integers, by way of their distinct cuts."""
 
     def __init__(self, tokenizer, cuts: bool = True) -> None:
         self.tokenizer, self.cuts = tokenizer, cuts
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self._forget()
 
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for cut, got in zip(part, self.tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)):
-                known[cut] = np.asarray(got.ids, "<u4").tobytes()
+    def _forget(self) -> None:
+        self.first, self.later = _Cuts(self.tokenizer, ""), _Cuts(self.tokenizer, " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) > CACHE_CUTS:
-            self.first, self.later = {}, {}
-        split = [None if not self.cuts or _INNER_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = {s[0] for s in split if s}
-        tails: set[str] = set()
-        for s in split:
-            if s:
-                tails.update(s[1:])
-        self._learn(self.first, [x for x in heads if x not in self.first], "")
-        self._learn(self.later, [x for x in tails if x not in self.later], " ")
-        out, later = [], self.later
-        for text, s in zip(texts, split):
-            if s is None:
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        if len(self.later) + len(self.first) > CACHE_CUTS:
+            self._forget()
+        out, first, later = [], self.first.__getitem__, self.later.__getitem__
+        for text in texts:
+            if not self.cuts or _INNER_SPACE.search(text):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                out.append(self.first[s[0]] + b"".join([later[x] for x in s[1:]]))
+                head, *tail = text.split(" ")
+                out.append(first(head) + b"".join(map(later, tail)))
         return out
 
 

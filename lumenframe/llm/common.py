@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,30 @@ def training_rows(
     return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r[id_col], r["text"]))]
 
 
+def annotated(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: dict[str, str]) -> DataFrame:
+    """All columns of ``df`` and one for each of ``fields`` (name: Spark type), worked out from the texts of an Arrow batch.
+
+    ``start`` runs once in each task and returns the function from texts, null ones as empty, to arrays. Nothing is
+    shuffled, and no column needs a join to come back. A field that ``df`` has already is replaced.
+    """
+    from pyspark.sql.types import DataType, StructType
+
+    prepare(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name not in fields]
+    schema = StructType(list(kept))
+    for name, kind in fields.items():
+        schema = schema.add(name, DataType.fromDDL(kind))
+    n, names = len(kept), schema.names
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text_of_row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *work(batch.column(n).to_pylist())], names=names)
+
+    return source.mapInArrow(run, schema)
+
+
 def normal_words(text: str | None) -> bytes:
     """UTF-8 words with A-Z lower-cased, joined by one space: a word is a run of letters, digits or non-ASCII."""
     return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_WORD_TABLE).split())

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_words, prepare, text_column
+from .common import annotated, normal_words, text_column
 
 #: Words of a window.
 WINDOW = 13
@@ -86,74 +85,75 @@ def _searcher_of(key: int, shared, size: int) -> WuManber:
     return _searchers[key]
 
 
-def _hits(docs: DataFrame, block: list[tuple[str, bytes]], size: int) -> DataFrame:
+def _with_hits(docs: DataFrame, block: list[tuple[str, bytes]], size: int, b: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
     key = shared._jbroadcast.id()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         search = _searcher_of(key, shared, size).search
-        for batch in batches:
+
+        def work(texts: list[str]) -> list[pa.Array]:
             n_words, spans, found = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts:
                 words = normal_words(text).split()
                 parts, items = [], set()
-                for start, end, own in sorted(search(words), key=lambda x: x[:2]):
+                for begin, end, own in sorted(search(words), key=lambda x: x[:2]):
                     items.update(own)
-                    if parts and start <= parts[-1][1]:
+                    if parts and begin <= parts[-1][1]:
                         parts[-1][1] = max(parts[-1][1], end)
                     else:
-                        parts.append([start, end])
+                        parts.append([begin, end])
                 n_words.append(len(words))
                 spans.append(parts)
                 found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))],
-                names=["_row", "n_words", "hits", "items"],
-            )
+            return [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))]
 
-    return docs.mapInArrow(run, "_row struct<doc_id:%s,part:bigint>, n_words long, hits array<array<bigint>>, items array<string>" % docs.schema["_row"].dataType["doc_id"].dataType.simpleString())
+        return work
 
+    return annotated(docs, "text", start, {"n_words": "long", f"_hits_{b}": "array<array<bigint>>", f"_items_{b}": "array<string>"})
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20, id_col: str = "doc_id") -> DataFrame:
-    """Where windows of ``benchmark`` (item_id, text) occur in each row of ``docs``.
-
-    Returns ``id_col``, n_words, hits (disjoint word ranges [start, end) that occurrences cover, ascending) and items
-    (ids of the items with an occurring window, as text, sorted). Null texts have no words; items without words have no
-    window; a null item_id is the text "null"; repeated rows stay; empty tables give no hits or no rows. Each document is
-    searched whole where it lies: nothing of ``docs`` is shuffled. The benchmark is broadcast in blocks of at most
-    ``block_chars`` characters of text (a longer item makes a block of its own). The blocks' results, a few ranges per document, are merged by row; one block, the usual case,
-    needs no merge.
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20) -> DataFrame:
+    """The columns of ``docs`` with n_words, hits (disjoint word ranges [start, end) that occurrences cover, ascending) and
+    items (ids of the items with an occurring window, as text, sorted).
+
+    Null texts have no words; items without words have no window; a null item_id is the text "null"; repeated rows stay;
+    empty tables give no hits or no rows. Each document is searched whole where it lies, and nothing of ``docs`` is
+    shuffled. The benchmark is broadcast in blocks of about ``block_chars`` characters of text (an item longer than that
+    makes a block longer); each further block is one more search over the batches, and their ranges are made one.
     """
-    prepare(docs.sparkSession)
-    chars = F.length(text_column())
-    total = benchmark.agg(F.sum(chars)).first()[0] or 0
+    total = benchmark.agg(F.sum(F.length(text_column()))).first()[0] or 0
     blocks = int(total // block_chars) + 1
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), (F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long")).alias("part")).alias("_row"), text_column().alias("text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_column().alias("text"))
-    parts = []
+    names, out = list(docs.columns), docs
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        parts.append(_hits(rows, [(r["item"], normal_words(r["text"])) for r in own.collect()], size))
-    out = parts[0]
-    if blocks > 1:
-        out = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        ).withColumn("hits", _union("hits"))
-    return out.select(F.col("_row.doc_id").alias(id_col), "n_words", "hits", "items")
+        out = _with_hits(out, [(r["item"], normal_words(r["text"])) for r in own.collect()], size, b)
+    if blocks == 1:
+        hits, found = F.col("_hits_0"), F.col("_items_0")
+    else:
+        out = out.withColumn("_hits", F.array_sort(F.concat(*[F.col(f"_hits_{b}") for b in range(blocks)])))
+        hits, found = _union("_hits"), F.array_sort(F.array_distinct(F.concat(*[F.col(f"_items_{b}") for b in range(blocks)])))
+    return out.select(*[F.col(f"`{c}`") for c in names if c not in ("n_words", "hits", "items")], "n_words", hits.alias("hits"), found.alias("items"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20, id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, n_words, hits and items of each row, as :func:`with_hits` has them."""
+    return with_hits(docs.select(id_col, "text"), benchmark, size, block_chars).drop("text")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with their columns."""
+    found = with_hits(docs.withColumns({f"_own_{c}": F.col(c) for c in docs.columns if c in ("n_words", "hits", "items")}), benchmark, size)
+    kept = found.where(~contaminated(F.col("n_words"), n_hit(F.col("hits"))))
+    return kept.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in found.columns else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _union(column: str) -> Column:
     """Sorted ranges, overlapping and touching ones made one."""
-    return F.aggregate(
-        F.col(column),
-        F.array().cast("array<array<bigint>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(F.element_at(done, F.when(F.size(done) > 0, -1).otherwise(F.lit(None))), 2) >= x[0]),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(F.element_at(done, F.when(F.size(done) > 0, -1).otherwise(F.lit(None)))[0], F.greatest(F.element_at(done, F.when(F.size(done) > 0, -1).otherwise(F.lit(None)))[1], x[1])))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+    last = lambda done: F.try_element_at(done, F.lit(-1))  # noqa: E731  null for an empty array
+    joined = lambda done, x: F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(last(done)[0], F.greatest(last(done)[1], x[1]))))
+    return F.aggregate(F.col(column), F.array().cast("array<array<bigint>>"), lambda done, x: F.when(last(done)[1] >= x[0], joined(done, x)).otherwise(F.concat(done, F.array(x))))
 
 
 def n_hit(hits: Column) -> Column:

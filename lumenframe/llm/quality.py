@@ -11,14 +11,13 @@ in later rounds only where the field fitted so far finds them more likely bad th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, text_column, training_rows
+from .common import annotated, training_rows
 from .logistic import Logistic
 
 _LOWER, _UPPER, _DIGITS = bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789"
@@ -201,16 +200,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_chars: i
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1, higher for better texts), lines array<double> (each line's chance of being bad) of every whole text.
+    """The columns of ``docs`` with score (0 to 1, higher for better texts) and lines array<double> (each line's chance of
+    being bad) of every whole text.
 
     A null or empty text is one empty line; repeated rows stay; an empty table gives an empty one. A map over Arrow
     batches: nothing is shuffled; the model is a few hundred weights.
     """
-    prepare(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, lines = model.of(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([p.tolist() for p in lines], pa.list_(pa.float64()))], names=["doc_id", "score", "lines"])
+    def start():
+        def work(texts: list[str]) -> list[pa.Array]:
+            scores, lines = model.of(texts)
+            return [pa.array(scores, pa.float64()), pa.array([p.tolist() for p in lines], pa.list_(pa.float64()))]
 
-    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, lines array<double>")
+        return work
+
+    return annotated(docs, "text", start, {"score": "double", "lines": "array<double>"})

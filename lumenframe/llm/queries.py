@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, htmltext, ngramjoin, pii, secrets, tokenbin
-from .common import shared_folder, table
+from . import ann, bpe, decontam, htmltext, ngramjoin, pii, quality, secrets, tokenbin, toxicity
+from .common import held_out, shared_folder, table
 
 
 def _vocabulary(name: str) -> str:
@@ -17,6 +17,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     tokenbin.write_tokens(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -34,8 +40,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), shared_folder(spark, "ledger"))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "ledger"))
     names = [r.name for r in secrets.BASE_RULES]
     base = F.filter("findings", lambda x: x["rule"].isin(names))
     return found.select(
@@ -132,7 +144,7 @@ LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) t ON t.a = d.r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_binary, op3_pii, op5_secrets, op6_ngram_join, op7_html_text, op8_decontamination, op9_byte_bpe, op10_nearest)}
+    return {f.__name__: f for f in (op1_quality, op2_token_binary, op3_pii, op4_toxicity, op5_secrets, op6_ngram_join, op7_html_text, op8_decontamination, op9_byte_bpe, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:

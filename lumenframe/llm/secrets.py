@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,14 +76,13 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id") -> DataFrame:
-    """Bring the ledger up to date with ``docs`` and return ``id_col``, blob, findings for each row of ``docs``.
+def update(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """Scan what the ledger lacks of the texts of ``docs``; returns blob, findings of all its blobs that have any.
 
     findings is array<struct<rule, start, end>> in code points, ordered by start, then by the order of ``rules``. Null
-    texts are empty ones; repeated rows stay; an empty table scans nothing. Only blobs that lack one of the rule versions
-    move: one row per distinct text after a partial aggregate in each task, so a group of copies costs one scan however
-    large it is. The join back to the paths is on the blob; a hot blob is split by Spark's skew join. The ledger is
-    append-only Parquet; a scan that is run twice adds the same rows, which the readers' dropDuplicates removes.
+    texts are empty ones; an empty table scans nothing. Only blobs that lack one of the rule versions move: one row per
+    distinct text after a partial aggregate in each task, so a group of copies costs one scan however large it is. The
+    ledger is append-only Parquet; a scan that is run twice adds the same rows, of which readers take one.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -90,8 +90,8 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MO
     held = read_ledger(spark, ledger)
     current = held.where(F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])[F.col("rule")] == F.col("version"))
     known = current.groupBy("blob").agg(F.collect_set("rule").alias("known"))
-    paths = docs.select(id_col, text_column().alias("text")).withColumn("blob", blob_of(F.col("text")))
-    blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
+    texts = docs.select(text_column().alias("text")).withColumn("blob", blob_of(F.col("text")))
+    blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
     unseen = blobs.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     unseen = unseen.where(F.size("known") < len(wanted))
 
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MO
 
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     span = F.from_json("spans", "array<array<int>>")
-    found = (
+    return (
         read_ledger(spark, ledger)
         .where(F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])[F.col("rule")] == F.col("version"))
         .where("spans != '[]'")
@@ -120,8 +120,49 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MO
         .agg(F.flatten(F.collect_list(F.transform(span, lambda s: F.struct(s[0].alias("start"), order[F.col("rule")].alias("at"), F.col("rule").alias("rule"), s[1].alias("end"))))).alias("f"))
         .select("blob", F.transform(F.array_sort("f"), lambda x: F.struct(x["rule"].alias("rule"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
     )
-    nothing = F.array().cast("array<struct<rule:string,start:int,end:int>>")
-    return paths.select(id_col, "blob").join(found, "blob", "left").select(id_col, "blob", F.coalesce("findings", nothing).alias("findings"))
+
+
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
+    """The columns of ``docs`` but text, with blob and findings: those of :func:`update`, joined back to every path.
+
+    Repeated rows stay; a text without findings has an empty list. The join is on the blob; Spark's skew join splits a
+    hot one.
+    """
+    found = update(docs, ledger, rules)
+    paths = docs.withColumn("blob", blob_of(F.col("text"))).drop("text", "findings")
+    return paths.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", _nothing()))
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<struct<rule:string,start:int,end:int>>")
+
+
+def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "<secret>") -> DataFrame:
+    """The rows and columns of ``docs``, each finding in a text replaced by ``mark``, findings that overlap by one; n_chars,
+    where there is such a column, follows the new text. Texts without findings, null ones among them, stay as they are."""
+    names = docs.columns
+    found = update(docs, ledger, rules).withColumnRenamed("blob", "_blob").withColumnRenamed("findings", "_findings")
+    both = docs.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, s, mark) for t, s in zip(text, spans)], dtype=object)
+
+    out = both.withColumn("text", F.when(F.col("_findings").isNull(), F.col("text")).otherwise(cut("text", F.transform("_findings", lambda x: F.array(x["start"], x["end"])))))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("_findings").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in names])
+
+
+def _cut(text: str | None, spans, mark: str) -> str | None:
+    if text is None or spans is None:
+        return text
+    out, at = [], 0
+    for start, end in sorted((int(s[0]), int(s[1])) for s in spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
 
 
 def listed(findings: Column) -> Column:

@@ -11,14 +11,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import SpanHasher, mixed, normal_words, prepare, text_column, training_rows
+from .common import SpanHasher, annotated, mixed, normal_words, training_rows
 from .logistic import Logistic
 
 #: Letters of a stem, and words that share one at least.
@@ -303,24 +303,35 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_chars:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, matches array<struct<word, term, edits, quoted>> of every whole text.
+    """The columns of ``docs`` with score and matches array<struct<word, term, edits, quoted>> of every whole text.
 
     Null and empty texts have no matches and score as such; repeated rows stay; an empty table gives an empty one; without
     training rows of both classes every text scores the share of the one class there is, or 0.5. A map over Arrow
     batches: nothing is shuffled; the model is a few hundred terms.
     """
-    prepare(docs.sparkSession)
     arrow = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, matches array<struct<word:string,term:string,edits:int,quoted:boolean>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         matcher = Matcher(model.lexicon)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        named = (model.lexicon.terms, model.lexicon.stems)
+
+        def work(texts: list[str]) -> list[pa.Array]:
             found = [matcher.matches(t) for t in texts]
             rows = np.array([matcher.features(*f) for f in found]).reshape(len(texts), FEATURES)
-            named = (matcher.lexicon.terms, matcher.lexicon.stems)
             shown = [[{"word": w, "term": named[h[2]][h[0]], "edits": h[1], "quoted": q} for w, h, q in hits] for hits, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.logistic.of(rows)), pa.array(shown, arrow)], names=["doc_id", "score", "matches"])
+            return [pa.array(model.logistic.of(rows), pa.float64()), pa.array(shown, arrow)]
+
+        return work
+
+    return annotated(docs, "text", start, {"score": "double", "matches": "array<struct<word:string,term:string,edits:int,quoted:boolean>>"})
+
+
+#: Score from which a document is toxic.
+REJECT = 0.7
+
 
-    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, schema)
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score less than ``REJECT``, with their columns."""
+    found = score(docs.withColumns({f"_own_{c}": F.col(c) for c in docs.columns if c in ("score", "matches")}), model)
+    kept = found.where(F.col("score") < REJECT)
+    return kept.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in found.columns else F.col(f"`{c}`") for c in docs.columns])
