@@ -21,8 +21,8 @@ _WORD_TABLE = bytes(
 
 def prepare(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that very long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
