@@ -29,8 +29,8 @@ _INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 _PLAIN = re.compile("[ -~\t\n\r\u00a1-\u024f]*")
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\r"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Distinct cuts kept per worker before the cache starts anew; only speed depends on it.
-CACHE_CUTS = 300_000
+#: Keys of a generation of a worker's cache; only speed and memory depend on it.
+CACHE_KEYS = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -81,39 +81,45 @@ def file_tokenizer(path: str):
     return out
 
 
-class _Cuts(dict):
-    """Ids by cut, worked out when a cut is first met. A cut of ASCII or Latin letters is split here, by the same pattern over
-    those characters alone, and its pieces go to the tokenizer's model; any other cut takes the whole tokenizer."""
+class _Recent(dict):
+    """A cache of what ``make`` gives for a key. When it is full, its entries become the old generation, of which those that are
+    met again come back, so that frequent keys stay and memory holds two generations."""
 
-    def __init__(self, tokenizer, lead: str) -> None:
+    def __init__(self, make) -> None:
         super().__init__()
-        self.whole, self.model, self.lead = tokenizer, tokenizer.model, lead
-
-    def __missing__(self, cut: str) -> bytes:
-        text = self.lead + cut
-        if _PLAIN.fullmatch(text):
-            ids = array("I")
-            for piece in _PIECES.findall(text):
-                ids.extend([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
-        else:
-            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids)
-        self[cut] = out = ids.tobytes()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= CACHE_KEYS:
+            self.old = self.copy()
+            self.clear()
+        self[key] = out
         return out
 
 
 class CutEncoder:
-    """Token ids of whole texts as little-endian 32-bit integers, by way of their distinct cuts."""
+    """Token ids of whole texts as little-endian 32-bit integers, by way of their distinct cuts.
+
+    A cut of ASCII or Latin letters is split here, by the same pattern over those characters alone, and its distinct pieces go
+    to the tokenizer's model; any other cut takes the whole tokenizer.
+    """
 
     def __init__(self, tokenizer, cuts: bool = True) -> None:
-        self.tokenizer, self.cuts = tokenizer, cuts
-        self._forget()
+        self.tokenizer, self.model, self.cuts = tokenizer, tokenizer.model, cuts
+        self.first, self.later, self.pieces = _Recent(self._cut), _Recent(lambda cut: self._cut(" " + cut)), _Recent(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
-    def _forget(self) -> None:
-        self.first, self.later = _Cuts(self.tokenizer, ""), _Cuts(self.tokenizer, " ")
+    def _cut(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.later) + len(self.first) > CACHE_CUTS:
-            self._forget()
         out, first, later = [], self.first.__getitem__, self.later.__getitem__
         for text in texts:
             if not self.cuts or _INNER_SPACE.search(text):
