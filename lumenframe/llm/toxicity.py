@@ -30,7 +30,7 @@ REPORTED = frozenset("said says wrote quoted quote quotes called term word phras
 _OPENING, _CLOSING = "\"“„«»‚‘'", "\"”“»«’'"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Features of a document.
-FEATURES = 6
+FEATURES = 5
 #: Distinct words kept per worker before the cache starts anew; only speed depends on it.
 CACHE_WORDS = 400_000
 
@@ -243,11 +243,11 @@ class Matcher:
         return x.stem[i] if stem else x.exact[i] if e == 0 else x.fuzzy[i]
 
     def features(self, found: list, n: int) -> list[float]:
-        """Of matches among n words: largest and summed weight of those that aren't quoted, largest of exact ones, of quoted ones, density, words."""
+        """Of matches among n words: largest and summed weight of those that aren't quoted, largest of exact ones, of quoted ones, density."""
         free = [max(0.0, self.weight(h)) for _, h, q in found if not q]
         kept = [max(0.0, self.weight(h)) for _, h, q in found if q]
         exact = [max(0.0, self.weight(h)) for _, h, q in found if not q and h[1] == 0]
-        return [max(free, default=0.0), math.log1p(sum(free)), max(exact, default=0.0), max(kept, default=0.0), math.log1p(100 * sum(free) / (n + 5)), math.log1p(n)]
+        return [max(free, default=0.0), math.log1p(sum(free)), max(exact, default=0.0), max(kept, default=0.0), math.log1p(100 * sum(free) / (n + 5))]
 
 
 @dataclass
