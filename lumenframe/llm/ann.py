@@ -153,7 +153,8 @@ def search(
     asked = rows.groupBy("v").agg(F.max(asks).alias("asked"))
     entries = stored(ids.join(asked, "v").select(F.col("ids")[0].alias("rep"), "v", "ids", "asked"), f"{folder}/entries")
 
-    picked = entries.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    chosen = entries.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(sample)
+    picked = sorted(entries.select("rep", "v").join(F.broadcast(chosen), "rep").collect(), key=lambda r: r["rep"])
     if not picked:
         return spark.createDataFrame([], schema)
     width = max(len(r["v"]) for r in picked)

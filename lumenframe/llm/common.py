@@ -79,6 +79,7 @@ def training_rows(
     rows = (
         docs.select(id_col, F.substring(text_column(), 1, max_chars).alias("text"))
         .join(F.broadcast(picked), id_col)
+        .dropDuplicates([id_col])
         .collect()
     )
     return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r[id_col], r["text"]))]

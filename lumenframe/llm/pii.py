@@ -245,14 +245,10 @@ def examples_of(texts: list[str], limit: int) -> list[tuple[Region, set[tuple[in
 def train(docs: DataFrame, sample_docs: int = 1500, sample_chars: int = 4000, limit: int = 1500) -> SemiMarkovCRF:
     """Fit on a bounded sample: of the documents whose first ``sample_chars`` characters hold a base-like sign, those
     ``sample_docs`` with the smallest hash of doc_id, and of those at most ``limit`` regions. No labels are used."""
-    text = F.substring(text_column(), 1, sample_chars)
-    rows = (
-        docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"))
-        .where(F.col("text").rlike(r"[0-9][0-9 ().-]{6}|@"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_docs)
-        .collect()
-    )
+    rows = docs.select("doc_id", F.substring(text_column(), 1, sample_chars).alias("text")).where("doc_id IS NOT NULL")
+    picked = rows.where(F.col("text").rlike(r"[0-9][0-9 ().-]{6}|@")).select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_docs)
+    got = rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = sorted(got, key=lambda r: r["doc_id"])
     return SemiMarkovCRF().fit(examples_of([r["text"] for r in rows], limit))
 
 
