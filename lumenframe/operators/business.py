@@ -325,6 +325,28 @@ def recommend(ratings: DataFrame, user: str, item: str, rating: str, who, top: i
     return scored.orderBy(F.desc("score"), "item").limit(top)
 
 
+def content_recommend(items: DataFrame, ratings: DataFrame, user: str, item: str, rating: str, features: list[str], who, top: int = 10) -> DataFrame:
+    """Items nearest to a user's rating-weighted mean of row-normalised features, without those rated."""
+    length = F.sqrt(sum([F.col(f) * F.col(f) for f in features], F.lit(0.0)))
+    unit = items.select(item, *[F.coalesce(F.try_divide(F.col(f).cast("double"), length), F.lit(0.0)).alias(f) for f in features])
+    own = ratings.where(F.col(user) == who).groupBy(item).agg(F.avg(rating).alias("_r"))
+    taste = unit.join(F.broadcast(own), item).agg(*[F.try_divide(F.sum(F.col(f) * F.col("_r")), F.sum("_r")).alias(f"_{f}") for f in features])
+    scored = unit.join(F.broadcast(own), item, "left_anti").crossJoin(F.broadcast(taste)).select(item, sum([F.col(f) * F.col(f"_{f}") for f in features], F.lit(0.0)).alias("score"))
+    return scored.orderBy(F.desc_nulls_last("score"), item).limit(top)
+
+
+def hybrid_recommend(a: DataFrame, b: DataFrame, key: str, weight: float = 0.5, top: int = 10) -> DataFrame:
+    """A weighted blend of two lists of scores, each stretched to 0 to 1."""
+    every = Window.partitionBy()
+
+    def stretched(df: DataFrame, name: str) -> DataFrame:
+        lo, hi = F.min("score").over(every), F.max("score").over(every)
+        return df.select(key, F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0).alias(name))
+
+    both = stretched(a, "_a").join(stretched(b, "_b"), key, "full")
+    return both.select(key, (weight * F.coalesce("_a", F.lit(0.0)) + (1 - weight) * F.coalesce("_b", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), key).limit(top)
+
+
 def financial_ratios(df: DataFrame) -> DataFrame:
     """Ratios of the columns that are there; a zero denominator gives null."""
     wanted = {

@@ -90,7 +90,7 @@ class Rule:
         elif self.kind == "type":
             out = c.try_cast({"numeric": "double", "datetime": "timestamp", "boolean": "boolean"}.get(p["type"], p["type"])).isNull() & c.isNotNull()
         elif self.kind == "range":
-            out = reduce(lambda a, b: a | b, [c < p["min"]] * ("min" in p) + [c > p["max"]] * ("max" in p))
+            out = (c < p["min"] if "min" in p else F.lit(False)) | (c > p["max"] if "max" in p else F.lit(False))
         elif self.kind == "pattern":
             out = ~c.cast("string").rlike(f"(?i)^(?:{p['pattern']})")
         elif self.kind == "in_set":
@@ -186,6 +186,20 @@ def fuzzy_duplicates(df: DataFrame, key: str, column: str, least: float = 0.8, b
     return pairs.withColumn("ratio", ratio).where(F.col("ratio") >= least)
 
 
+def corpus_checks(docs: DataFrame, key: str, text: str, time: str | None = None, short: int = 50) -> DataFrame:
+    """check, value: rows, empty and short texts, copies, mean length, odd characters and the oldest row, measured on all rows."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    copies = docs.groupBy(F.sha2(c, 256).alias("h")).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).cast("double").alias("copies"))
+    odd = F.char_length(F.regexp_replace(c, r"[^\x{FFFD}\x{0}-\x{8}]", ""))
+    figures = docs.agg(
+        F.count("*").cast("double").alias("rows"), F.count_if(F.trim(c) == "").cast("double").alias("empty"), F.count_if(F.char_length(c) < short).cast("double").alias("short"),
+        F.avg(F.char_length(c)).alias("mean_length"), F.count_if(odd > 0).cast("double").alias("odd_characters"), F.count_distinct(key).cast("double").alias("keys"),
+        *([F.min(F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("oldest")] if time else []),
+    )
+    wide = figures.crossJoin(copies)
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("value")) for n in wide.columns])))
+
+
 # Alerts and insights
 
 

@@ -214,6 +214,37 @@ def linear_forecast(series: DataFrame, order_by: str, value: str, horizon: int =
     return out.select("h", at.alias("forecast"), (at - 1.96 * F.col("s")).alias("lower"), (at + 1.96 * F.col("s")).alias("upper"))
 
 
+def holt_winters(series: DataFrame, order_by: str, value: str, period: int, horizon: int = 12, alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.1) -> DataFrame:
+    """Additive level, trend and seasons by one fold; the first two periods give the start."""
+    ys = series.where(F.col(value).isNotNull()).agg(_ordered(order_by, value).alias("ys")).where(F.size("ys") >= 2 * period)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / period
+    first, second = F.slice("ys", 1, period), F.slice("ys", period + 1, period)
+    start = F.struct(mean(first).alias("level"), ((mean(second) - mean(first)) / period).alias("trend"), F.transform(first, lambda y: y - mean(first)).alias("season"))
+
+    def step(s, y):
+        old = s["season"][0]
+        level = alpha * (y - old) + (1 - alpha) * (s["level"] + s["trend"])
+        season = F.concat(F.slice(s["season"], 2, period - 1), F.array(gamma * (y - level) + (1 - gamma) * old))
+        return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * s["trend"]).alias("trend"), season.alias("season"))
+
+    end = ys.select(F.aggregate(F.slice("ys", period + 1, F.size("ys")), start, step).alias("s"))
+    out = end.select("s", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    return out.select("h", (F.col("s.level") + F.col("h") * F.col("s.trend") + F.get(F.col("s.season"), (F.col("h") - 1) % period)).alias("forecast"))
+
+
+def polynomial_trend(series: DataFrame, order_by: str, value: str, degree: int = 2) -> DataFrame:
+    """Coefficients, the constant first, over the row's place scaled to 0 to 1, from sums of powers in one aggregate."""
+    import numpy as np
+
+    n = series.count()
+    x = ((F.row_number().over(Window.orderBy(order_by)) - 1) / max(1, n - 1)).cast("double")
+    numbered = series.select(x.alias("x"), F.col(value).cast("double").alias("y")).where("y IS NOT NULL")
+    r = numbered.agg(*[F.sum(F.pow("x", F.lit(k))).alias(f"s{k}") for k in range(2 * degree + 1)], *[F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(degree + 1)]).first()
+    a = np.array([[r[f"s{i + j}"] or 0.0 for j in range(degree + 1)] for i in range(degree + 1)])
+    c = np.linalg.lstsq(a, np.array([r[f"t{k}"] or 0.0 for k in range(degree + 1)]), rcond=None)[0]
+    return series.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(c)], "power int, coefficient double")
+
+
 FORECASTS = {"holt": holt, "moving_average": moving_average_forecast, "linear": linear_forecast}
 
 

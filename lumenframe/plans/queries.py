@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, text, vectors
 from ..operators import aggregates as A
 from ..operators import business as B
-from ..operators import eda, features, quality, sampling, transforms
+from ..operators import eda, features, quality, sampling, simulation, transforms
 from ..operators import statistics as S
 from ..operators import timeseries as TS
 from . import sql as guarded
@@ -519,6 +519,32 @@ def quality_compare_values(spark: Session, d: str) -> DataFrame:
     return rounded(quality.compare_values(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey"))
 
 
+@query("""WITH c AS (SELECT sum(n - 1) AS copies FROM (SELECT count(*) AS n FROM documents GROUP BY text)), f AS (SELECT count(*) AS r, count(*) FILTER (trim(text) = '') AS e, count(*) FILTER (length(text) < 50) AS s, avg(length(text)) AS l, count(DISTINCT doc_id) AS k FROM documents)
+SELECT 'rows' AS "check", CAST(r AS DOUBLE) AS value FROM f UNION ALL SELECT 'empty', e FROM f UNION ALL SELECT 'short', s FROM f UNION ALL SELECT 'mean_length', round(l, 6) FROM f UNION ALL SELECT 'odd_characters', 0 UNION ALL SELECT 'keys', k FROM f UNION ALL SELECT 'copies', copies FROM c""")
+def quality_corpus_checks(spark: Session, d: str) -> DataFrame:
+    return rounded(quality.corpus_checks(load(spark, d, "documents"), "doc_id", "text"), 6)
+
+
+@query("""WITH s AS (SELECT unnest([('base', 100.0, 5.0, 200.0), ('optimistic', 120.0, 6.0, 240.0), ('pessimistic', 80.0, 4.0, 160.0)]) AS r) SELECT r[1] AS scenario, round(CAST(r[2] AS DOUBLE) * CAST(r[3] AS DOUBLE) - CAST(r[4] AS DOUBLE), 6) AS value FROM s""")
+def scenario_values(spark: Session, d: str) -> DataFrame:
+    return rounded(simulation.scenarios(spark, {"units": 100, "price": 5, "cost": 200}, "units * price - cost"), 6)
+
+
+@query()
+def simulated_revenue(spark: Session, d: str) -> DataFrame:
+    return simulation.revenue_paths(spark, 1000.0, 0.02, 0.05)
+
+
+@query()
+def series_holt_winters(spark: Session, d: str) -> DataFrame:
+    return TS.holt_winters(monthly(spark, d), "period", "y", 12)
+
+
+@query()
+def geo_dbscan(spark: Session, d: str) -> DataFrame:
+    return geo.dbscan(places(spark, d), "c_custkey", "lat", "lon", 300.0, 2)
+
+
 @query()
 def quality_profile(spark: Session, d: str) -> DataFrame:
     return quality.profile(load(spark, d, "lineitem"))

@@ -135,3 +135,21 @@ def lineage(edges: DataFrame, column: str, upstream: bool = True, most: int = 50
             break
         seen = seen.union(front)
     return seen.where("depth > 0")
+
+
+def log_run(spark: SparkSession, root: str, run: str, params: dict, metrics: dict[str, float]) -> None:
+    """One run of an experiment as a row of its own, so that runs can be written side by side."""
+    row = [(run, json.dumps(params, sort_keys=True, default=str), {k: float(v) for k, v in metrics.items()})]
+    spark.createDataFrame(row, "run string, params string, metrics map<string,double>").coalesce(1).write.mode("append").parquet(f"{root}/runs")
+
+
+def best_run(spark: SparkSession, root: str, metric: str, largest: bool = True) -> DataFrame:
+    value = F.col("metrics")[metric]
+    return spark.read.parquet(f"{root}/runs").where(value.isNotNull()).orderBy(value.desc() if largest else value.asc(), "run").limit(1)
+
+
+def choose_chart(df: DataFrame, x: str | None = None, y: str | None = None) -> str:
+    """By the columns' types: line over time, scatter of numbers, bars by category, histogram of one number."""
+    kind = lambda c: None if c is None else "time" if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "number" if isinstance(df.schema[c].dataType, T.NumericType) else "category"
+    a, b = kind(x), kind(y)
+    return {("time", "number"): "line", ("number", "number"): "scatter", ("category", "number"): "bar", ("number", "category"): "box", ("category", "category"): "heatmap", ("number", None): "histogram", ("category", None): "bar", ("time", None): "line"}.get((a, b), "table")
