@@ -33,6 +33,8 @@ FURNITURE_WORDS = frozenset(
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget "
     "complementary contentinfo search alert toc tags".split()
 )
+#: An article with one of these is furniture all the same.
+REPLY_WORDS = frozenset("comment comments reply replies ad ads advert promo related sponsored".split())
 ARTICLE_WORDS = frozenset(["article", "main", "articlebody"])
 #: A `p` or list item that is still open ends where one of these starts.
 _CLOSES = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
@@ -70,9 +72,10 @@ class _Lines(HTMLParser):
         silent, furniture, article, link = self._state()
         given = {k: v or "" for k, v in attrs}
         words = set(re.split(r"[^a-z0-9]+", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()))
-        own_article = tag in ARTICLE or bool(words & ARTICLE_WORDS and tag in BLOCKS)
+        marked = words & FURNITURE_WORDS
+        own_article = (tag in ARTICLE and not words & REPLY_WORDS) or bool(words & ARTICLE_WORDS and tag in BLOCKS and not marked)
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", ""))
-        own_furniture = tag in FURNITURE and not (tag == "header" and article) or (bool(words & FURNITURE_WORDS) and tag not in ("html", "body") and not own_article) or bool(hidden and tag not in ("html", "body"))
+        own_furniture = tag in FURNITURE and not (tag == "header" and article) or (bool(marked) and tag not in ("html", "body") and not own_article) or bool(hidden and tag not in ("html", "body"))
         self.open.append((tag, silent or tag in SILENT, furniture or own_furniture, article or own_article and not furniture, link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

@@ -267,6 +267,7 @@ def test_shingle_hashes_follow_words():
         ("<div id=sidebar>" + "side " * 50 + "</div><div><p>" + "body " * 60 + "</p><div class='ad'>buy</div><p>" + "more " * 60 + "</p></div>", ("body " * 60 + "more " * 60).strip()),
         ("<form>name<input></form><main>short</main>", "short"),
         ("<article><b>x<p>y</article>z", "x y"),
+        ("<div class='main-header'>no</div><main><p>yes</p></main><article class='comment'>never</article>", "yes"),
     ],
 )
 def test_main_text(html, text):
