@@ -48,6 +48,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-zA-Z]{2,})\b"), F.lit(1))
 
 
+def words(c: Column) -> Column:
+    """Runs of at least two letters of any script, lower-cased; runs with digits or underscores are none."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike(r"^[\p{L}\p{M}]{2,}$"))
+
+
 def ngrams(words: Column, n: int) -> Column:
     none = F.array().cast("array<string>")
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)

@@ -694,9 +694,15 @@ def text_cleaning(spark: Session, d: str) -> DataFrame:
 
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\b[a-z]{2,}\\b')) AS word FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY 1""")
 def text_word_counts(spark: Session, d: str) -> DataFrame:
+    """Of the documents without non-ASCII characters only, as its SQL has it; text_word_counts_all counts every document."""
     return load(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS word FROM documents) WHERE regexp_matches(word, '^[\\p{L}\\p{M}]{2,}$') GROUP BY 1""")
+def text_word_counts_all(spark: Session, d: str) -> DataFrame:
+    return load(spark, d, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT conv_id, turn, left(sha256(text), 16) AS hashed, '[TEXT]' AS redacted, left(text, 1) || repeat('*', CAST(length(text) - 1 AS INT)) AS masked FROM conversations""")
 def text_masking(spark: Session, d: str) -> DataFrame:
     c = F.col("text")

@@ -201,3 +201,23 @@ def test_runs_and_charts(spark, tmp_path):
     assert files.best_run(spark, str(tmp_path), "auc").first()["run"] == "r1"
     df = spark.createDataFrame([(1, "a")], "x int, c string")
     assert files.choose_chart(df, "c", "x") == "bar" and files.choose_chart(df, "x") == "histogram"
+
+
+def test_words_of_texts_with_any_character(spark):
+    df = spark.createDataFrame([("Café naïve, x1 a_b don’t 😀 the THE",), ("ещё the",), ("plain ab1 ab",), (None,)], "text string")
+    got = {r["w"]: r["n"] for r in df.select(F.explode(text.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    assert got == {"café": 1, "naïve": 1, "don": 1, "the": 3, "ещё": 1, "plain": 1, "ab": 1}
+
+
+def test_word_counts_read_every_document(spark):
+    import re
+    from collections import Counter
+
+    from lumenframe.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    assert any(not x.isascii() for x in texts if x)
+    got = {r["word"]: r["n"] for r in registry.queries()["text_word_counts_all"](spark, sf).collect()}
+    plain = Counter(w for x in texts for w in re.findall(r"[^\W]+", (x or "").lower()) if w.isascii() and w.isalpha() and len(w) > 1)
+    assert {w: n for w, n in got.items() if w.isascii()} == plain and any(not w.isascii() for w in got)
