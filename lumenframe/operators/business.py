@@ -297,13 +297,17 @@ def cross_sell(rules: DataFrame) -> DataFrame:
 
 
 def item_similarity(ratings: DataFrame, user: str, item: str, rating: str, most: int = 500) -> DataFrame:
-    """Cosine of item vectors over shared users. A user's items are an array; a user with more than ``most`` items is split into
-    runs of their most rated items, so one user can't make all pairs."""
+    """Cosine of item vectors over shared users. A user's items are an array; the items of a user with more than ``most`` are
+    dealt by hash into runs of about half of that, and each pair of runs is a cell of its own, so every pair is made once and
+    no cell holds much more than ``most`` items."""
     per = ratings.groupBy(user, item).agg(F.avg(rating).alias("r"))
     norms = per.groupBy(item).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    runs = per.withColumn("run", F.floor((F.row_number().over(Window.partitionBy(user).orderBy(F.desc("r"), item)) - 1) / most))
-    rows = runs.groupBy(user, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col("r").alias("r")))).alias("x")).where(F.size("x") > 1)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda k: F.transform(F.slice("x", k + 1, F.size("x")), lambda y: F.struct(F.element_at("x", k)["i"].alias("a"), y["i"].alias("b"), (F.element_at("x", k)["r"] * y["r"]).alias("p")))))
+    spread = per.groupBy(F.col(user).alias("_user")).agg(F.count("*").alias("n")).select("_user", F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("int").alias("runs"))
+    runs = per.join(spread, F.col(user).eqNullSafe(F.col("_user"))).withColumn("run", F.pmod(F.xxhash64(item), F.col("runs")).cast("int"))
+    placed = runs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumns({"lower": F.least("run", "other"), "upper": F.greatest("run", "other")})
+    rows = placed.groupBy("_user", "lower", "upper").agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), "r", "run"))).alias("x")).where(F.size("x") > 1)
+    after = lambda k: F.filter(F.slice("x", k + 1, F.size("x")), lambda y: (F.col("lower") == F.col("upper")) | (y["run"] != F.element_at("x", k)["run"]))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda k: F.transform(after(k), lambda y: F.struct(F.element_at("x", k)["i"].alias("a"), y["i"].alias("b"), (F.element_at("x", k)["r"] * y["r"]).alias("p")))))
     dots = rows.select(F.inline(pairs)).groupBy("a", "b").agg(F.sum("p").alias("dot"))
     n = lambda s: norms.select(F.col(item).alias(s), F.col("norm").alias(f"norm_{s}"))
     return dots.join(n("a"), "a").join(n("b"), "b").select("a", "b", F.try_divide("dot", F.col("norm_a") * F.col("norm_b")).alias("similarity"))

@@ -221,3 +221,15 @@ def test_word_counts_read_every_document(spark):
     got = {r["word"]: r["n"] for r in registry.queries()["text_word_counts_all"](spark, sf).collect()}
     plain = Counter(w for x in texts for w in re.findall(r"[^\W]+", (x or "").lower()) if w.isascii() and w.isalpha() and len(w) > 1)
     assert {w: n for w, n in got.items() if w.isascii()} == plain and any(not w.isascii() for w in got)
+
+
+def test_item_similarity_of_a_user_with_many_items(spark):
+    ratings = [("hot", i, float(1 + i % 5)) for i in range(40)] + [(f"u{i % 7}", i, 2.0) for i in range(0, 40, 3)]
+    got = {(r["a"], r["b"]): r["similarity"] for r in business.item_similarity(spark.createDataFrame(ratings, "u string, i int, r double"), "u", "i", "r", most=6).collect()}
+    by, vec = {}, {}
+    for u, i, r in ratings:
+        by.setdefault(u, []).append(i)
+        vec.setdefault(i, {})[u] = r
+    norm = {i: math.sqrt(sum(r * r for r in v.values())) for i, v in vec.items()}
+    want = {(a, b): sum(vec[a][u] * vec[b][u] for u in vec[a] if u in vec[b]) / norm[a] / norm[b] for a in vec for b in vec if a < b}
+    assert got == pytest.approx(want) and len(got) == 780
