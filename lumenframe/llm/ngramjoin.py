@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, mixed, normal_words, prepare, shared_folder, shuffle_parts, stored, text_column
@@ -148,6 +148,15 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
     Links leave a cell as counts and as the smallest linked class, a row per class. The time of a group of n different
     near copies still grows with n², by the comparisons that counting its links takes.
     """
+    signed, full = _linked(docs, size, threshold, trees, recall, label)
+    named = full.join(full.groupBy("component").agg(F.min("least_id").alias("class_id")), "component").select("node", "class_id", "n_links")
+    return signed.select("doc_id", "node").join(named, "node", "left").select(
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
+def _linked(docs: DataFrame, size: int, threshold: float, trees: int, recall: float, label: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows; and node, least_id, kept (place of the row that stands for the node), component, n_links of each node."""
     spark = docs.sparkSession
     prepare(spark)
     folder = shared_folder(spark, "ngramjoin")
@@ -156,7 +165,7 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
     signed = stored(signatures(rows, size, trees, depth), f"{folder}/signed")
     classes = stored(
         signed.where("node IS NOT NULL").groupBy("node").agg(
-            F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes")
+            F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("at"), F.min(_place()).alias("kept"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes")
         ),
         f"{folder}/classes",
     )
@@ -214,20 +223,31 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
     joined = components(near.select(F.col("node").alias("u"), F.col("hub").alias("v")), f"{folder}/joined")
     counted = near.groupBy("node").agg(F.sum("links").alias("links"))
     full = (
-        classes.select("node", "copies", "least_id")
+        classes.select("node", "copies", "least_id", "kept")
         .join(joined, "node", "left").join(counted, "node", "left")
-        .select("node", "least_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    named = full.join(full.groupBy("component").agg(F.min("least_id").alias("class_id")), "component").select("node", "class_id", "n_links")
-    return signed.select("doc_id", "node").join(named, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        .select("node", "least_id", "kept", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    return signed, full
+
 
+def _place(th: Column | str = "th") -> Column:
+    """The order in which rows of a class are preferred: doc_id, nulls last, then the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (F.col(th) if isinstance(th, str) else th).alias("th"))
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` of which each class of :func:`join` keeps one: the one of the smallest doc_id. Columns stay."""
-    kept = join(docs, **how).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+def deduplicated(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, label: int = LABEL) -> DataFrame:
+    """The rows of ``docs`` of which each class of :func:`join` keeps exactly one. Columns stay.
+
+    The row of the smallest doc_id stays, null ids last; then that of the smallest hash of the text. Classes are told apart by
+    their texts, so different texts under one doc_id, or under none, each keep a row. Rows of equal doc_id and text are one
+    document, of which the smallest hash of the row stays; so are those of a text without words.
+    """
+    signed, full = _linked(docs, size, threshold, trees, recall, label)
+    kept = full.groupBy("component").agg(F.min("kept").alias("_place")).select("_place").union(signed.where("node IS NULL").select(_place().alias("_place")).distinct())
+    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _place(F.xxhash64(text_column())).alias("_place"))
+    rows = placed.join(kept, "_place", "left_semi")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    return rows.groupBy("_place").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), hashed)).alias("_row")).select("_row.*")
 
 
 def expected_recall(similarity: float, trees: int = TREES, depth: int | None = None) -> float:

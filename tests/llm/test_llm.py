@@ -238,6 +238,15 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert ngramjoin.join(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_deduplication_keeps_a_row_of_every_class(spark):
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    near = long[0].replace("a59", "zz")
+    rows = [(None, long[0]), (None, long[0] + " a60"), (7, long[1]), (7, long[2]), (7, long[2]), (3, near.replace("a", "e")), (9, near.replace("a", "e") + " x"), (9, long[3]), (None, "?!"), (None, "?!"), (4, None), (4, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in ngramjoin.deduplicated(frame(spark, rows)).collect()), key=str)
+    first = min((long[0], long[0] + " a60"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    assert got == sorted([(None, first), (7, long[1]), (7, long[2]), (3, rows[5][1]), (9, long[3]), (None, "?!"), (4, "")], key=str)
+
+
 def test_forest_depth_reaches_its_recall():
     assert ngramjoin.recall_at(ngramjoin.depth_for()) >= ngramjoin.RECALL > ngramjoin.recall_at(ngramjoin.depth_for() + 1)
 
