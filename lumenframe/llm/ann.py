@@ -135,11 +135,11 @@ def search(
     """query_id, rank, vec_id, score: the ``k`` rows of largest cosine found for each row whose id ``query_every`` divides.
 
     Equal vectors share one index entry that keeps their k + 1 smallest ids, which is all a top k can need; a hot vector
-    thus costs no more than another. Index blocks meet query blocks in even cells of at most about ``block_rows`` by
+    thus costs no more than another. Each length of vectors is searched by itself, with a fit of its own: a cosine is defined
+    within a length only, and an id that has vectors of two lengths is answered for both. Index blocks meet query blocks in even cells of at most about ``block_rows`` by
     ``query_rows`` vectors, each cell keeps k + 1 entries a query, and a rank limit merges the cells. The fit alone uses a
-    sample, of the ``sample`` entries with the smallest hash of id; every row is indexed. Vectors that are null, empty,
-    zero or hold null or non-finite components, vectors of another length than the longest sampled one, and null ids
-    take no part; rows repeated with equal id and vector count once; ties go to the smaller id; fewer than k candidates
+    sample, of the ``sample`` entries of a length with the smallest hash of id; every row is indexed. Vectors that are null, empty,
+    zero or hold null or non-finite components, and null ids take no part; rows repeated with equal id and vector count once; ties go to the smaller id; fewer than k candidates
     are all returned, and an empty table gives no rows.
     """
     spark = df.sparkSession
@@ -151,56 +151,64 @@ def search(
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     ids = rows.withColumn("rn", first).where(F.col("rn") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     asked = rows.groupBy("v").agg(F.max(asks).alias("asked"))
-    entries = stored(ids.join(asked, "v").select(F.col("ids")[0].alias("rep"), "v", "ids", "asked"), f"{folder}/entries")
-
-    chosen = entries.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(sample)
-    picked = sorted(entries.select("rep", "v").join(F.broadcast(chosen), "rep").collect(), key=lambda r: r["rep"])
-    if not picked:
+    entries = stored(ids.join(asked, "v").select(F.size("v").alias("width"), F.col("ids")[0].alias("rep"), "v", "ids", "asked"), f"{folder}/entries")
+
+    counts = {r["width"]: (r["n"], r["n_asked"]) for r in entries.groupBy("width").agg(F.count("*").alias("n"), F.count(F.when(F.col("asked"), 1)).alias("n_asked")).collect() if r["n_asked"]}
+    codes = {}
+    for width in sorted(counts):
+        own = entries.where(F.col("width") == width)
+        chosen = own.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(sample)
+        picked = sorted(own.select("rep", "v").join(F.broadcast(chosen), "rep").collect(), key=lambda r: (r["rep"], r["v"]))
+        codes[width] = fit(np.array([r["v"] for r in picked]), k, bits)
+    if not codes:
         return spark.createDataFrame([], schema)
-    width = max(len(r["v"]) for r in picked)
-    codes = fit(np.array([r["v"] for r in picked if len(r["v"]) == width]), k, bits)
-    entries = entries.where(F.size("v") == width)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = codes.of(_array(pa.chunked_array([b.column(1)]), width))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in own], pa.binary())], names=["rep", "v", "asked", "code"])
-
-    index = stored(entries.select("rep", "v", "asked").mapInArrow(encode, "rep long, v array<double>, asked boolean, code binary"), f"{folder}/index")
-    n, n_asked = index.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
-    blocks, sets = math.ceil(n / block_rows), max(1, math.ceil(n_asked / query_rows))
-    place = lambda parts, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = index.select("rep", "v", "code", place(blocks, 1).alias("i"), every(sets).alias("j"))
-    right = index.where("asked").select("rep", "v", "code", every(blocks).alias("i"), place(sets, 2).alias("j"))
+            widths = b.column(0).to_numpy()
+            for width in np.unique(widths):
+                part = b.take(pa.array(np.flatnonzero(widths == width)))
+                own = codes[int(width)].of(_array(pa.chunked_array([part.column(2)]), int(width)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in own], pa.binary())], names=["width", "rep", "v", "asked", "code"])
+
+    plan = spark.createDataFrame([(w, math.ceil(n / block_rows), math.ceil(a / query_rows)) for w, (n, a) in counts.items()], "width int, blocks int, sets int")
+    searched = entries.select("width", "rep", "v", "asked").join(F.broadcast(plan.select("width")), "width", "left_semi")
+    index = stored(searched.mapInArrow(encode, "width int, rep long, v array<double>, asked boolean, code binary"), f"{folder}/index").join(F.broadcast(plan), "width")
+    place = lambda parts, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = index.select("width", "rep", "v", "code", place("blocks", 1).alias("i"), every("sets").alias("j"))
+    right = index.where("asked").select(*[F.col(c).alias(c) for c in ("width", "rep", "v", "code")], every("blocks").alias("i"), place("sets", 2).alias("j"))
+    radius = {w: c.radius for w, c in codes.items()}
 
     def cell(own: pa.Table, asking: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"q": [], "rep": [], "score": []}
+        out: dict[str, list] = {"width": [], "q": [], "rep": [], "score": []}
         if own.num_rows and asking.num_rows:
+            width = own["width"][0].as_py()
             pack = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            block = Block(_array(own["v"], width), pack(own), codes.radius)
+            block = Block(_array(own["v"], width), pack(own), radius[width])
             reps = own["rep"].to_numpy()
             for q, v, code in zip(asking["rep"].to_pylist(), _array(asking["v"], width), pack(asking)):
                 got = block.candidates(code, k + 1)
                 score = block.cosines(got, v)
                 best = np.lexsort((reps[got], -score))[: k + 1]
+                out["width"] += [width] * len(best)
                 out["q"] += [q] * len(best)
                 out["rep"] += reps[got[best]].tolist()
                 out["score"] += score[best].tolist()
-        return pa.table(out, schema=pa.schema([("q", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())]))
+        return pa.table(out, schema=pa.schema([("width", pa.int32()), ("q", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())]))
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, "q long, rep long, score double")
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
+    found = left.groupBy("width", "i", "j").cogroup(right.groupBy("width", "i", "j")).applyInArrow(cell, "width int, q long, rep long, score double")
+    best = F.row_number().over(Window.partitionBy("width", "q").orderBy(F.desc("score"), "rep"))
     top = (
         found.withColumn("rn", best).where(F.col("rn") <= k + 1)
-        .join(entries.select("rep", "ids"), "rep")
-        .groupBy("q")
+        .join(entries.select("width", "rep", "ids"), ["width", "rep"])
+        .groupBy("width", "q")
         .agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id")))))).alias("near"))
     )
-    queries = rows.where(asks).join(entries.where("asked").select(F.col("rep").alias("q"), "v"), "v").select(F.col("vec_id").alias("query_id"), "q")
+    queries = rows.where(asks).join(entries.where("asked").select("width", F.col("rep").alias("q"), "v"), "v").select(F.col("vec_id").alias("query_id"), "width", "q")
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return (
-        queries.join(top, "q")
+        queries.join(top, ["width", "q"])
         .select("query_id", F.posexplode(own).alias("place", "x"))
         .select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
     )

@@ -317,6 +317,24 @@ def test_nearest_reach_the_recall(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), 50).count() == 0
 
 
+def test_every_vector_length_is_searched(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.standard_normal(8)]) for i in range(60)] + [(100 + i, [float(v) for v in rng.standard_normal(3)]) for i in range(20)] + [(1000, [1.0] * 12), (10, rows_3 := [1.0, 2.0, 3.0])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 5, sample=40, block_rows=25, query_rows=3).collect():
+        got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    vec = {i: np.array(v) for i, v in rows[:-1]}
+    threes = [i for i in vec if len(vec[i]) == 3]
+    for q in [*range(0, 60, 10), 100, 110]:
+        own = vec[q]
+        s = {i: v @ own / np.linalg.norm(v) / np.linalg.norm(own) for i, v in vec.items() if len(v) == len(own) and i != q}
+        if len(own) == 3:
+            s[10] = np.array(rows_3) @ own / np.linalg.norm(rows_3) / np.linalg.norm(own)
+        for rank, i in enumerate(sorted(s, key=lambda i: -s[i])[:5], 1):
+            assert any(v == i and abs(c - s[i]) < 1e-9 for v, c in got[q, rank]), (q, rank)
+    assert len(got[10, 1]) == 2 and {v for v, _ in got[10, 1]} & set(threes) and (1000, 1) not in got
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 16))
