@@ -2,7 +2,7 @@
 
 Markup is stripped so that each block element gives one line. Lines of page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments) and the text of links in link lists count as empty. Summed text lengths over a
-sliding window of lines show where the text surges and dives; what lies between a surge and its dive is kept.
+sliding window of lines show where the text surges and dives; what lies between any surge and its dive is kept.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ FURNITURE_WORDS = frozenset(
 #: An article with one of these is furniture all the same.
 REPLY_WORDS = frozenset("comment comments reply replies ad ads advert promo related sponsored".split())
 ARTICLE_WORDS = frozenset(["article", "main", "articlebody"])
+#: Elements that such a word can mark as the article; a heading or a paragraph is only a part of it.
+CONTAINERS = frozenset("body center div section table tbody td tr".split())
+#: What may stand in a head; anything else that starts ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A `p` or list item that is still open ends where one of these starts.
 _CLOSES = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 #: HTML's white space and the no-break space, as str.split sees them.
@@ -62,7 +66,16 @@ class _Lines(HTMLParser):
             self.lines.append([text, self.linked, furniture, article])
         self.parts, self.linked = [], 0
 
+    def _end_head(self, anywhere: bool) -> None:
+        """Ends a head that is still open, ``anywhere``: with what is open in it."""
+        for i, (tag, *_) in enumerate(self.open):
+            if tag == "head" and (anywhere or i == len(self.open) - 1):
+                del self.open[i:]
+                break
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD:
+            self._end_head(tag == "body")
         if tag in BLOCKS:
             self._flush()
             if self.open and tag in _CLOSES.get(self.open[-1][0], ()):
@@ -73,7 +86,7 @@ class _Lines(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         words = set(re.split(r"[^a-z0-9]+", " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()))
         marked = words & FURNITURE_WORDS
-        own_article = (tag in ARTICLE and not words & REPLY_WORDS) or bool(words & ARTICLE_WORDS and tag in BLOCKS and not marked)
+        own_article = (tag in ARTICLE and not words & REPLY_WORDS) or bool(words & ARTICLE_WORDS and tag in CONTAINERS and not marked)
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", ""))
         own_furniture = tag in FURNITURE and not (tag == "header" and article) or (bool(marked) and tag not in ("html", "body") and not own_article) or bool(hidden and tag not in ("html", "body"))
         self.open.append((tag, silent or tag in SILENT, furniture or own_furniture, article or own_article and not furniture, link or tag == "a"))
@@ -91,6 +104,8 @@ class _Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head(False)
         silent, _, _, link = self._state()
         if not silent:
             self.parts.append(data)
@@ -118,27 +133,22 @@ def surges(weights: list[int], window: int, least: int) -> list[tuple[int, int]]
     return out
 
 
-def main_text(html: str | None, window: int = 3, least: int = 80, link_share: float = 0.6) -> str:
+def main_text(html: str | None, window: int = 3, link_share: float = 0.6) -> str:
     """The kept lines in page order, joined by one space.
 
-    Where a page marks an article, lines outside it weigh nothing, and the smallest surge counts; else the longest text between a
-    surge and its dive decides, and other surges of at least a quarter of its length stay with it. Lines that are mostly link text weigh nothing.
+    Where what a page marks as its article holds more than half of the text that isn't furniture, lines outside it weigh
+    nothing; else marks don't count, and lines that are mostly link text weigh nothing. Every surge is kept, however short.
     """
     parser = _Lines()
     parser.feed(html or "")
     lines = parser.finish()
-    marked = any(article and not furniture for _, _, furniture, article in lines)
+    plain = [0 if furniture else len(text) - (0 if article else linked) for text, linked, furniture, article in lines]
+    marked = 2 * sum(n for n, line in zip(plain, lines) if line[3]) > sum(plain)
     weights = []
     for text, linked, furniture, article in lines:
         out = furniture or (marked and not article) or (not marked and linked > link_share * len(text))
         weights.append(0 if out else len(text))
-    found = surges(weights, window, 1 if marked else least)
-    if not found and any(weights):
-        found = surges(weights, window, 1)
-    if not marked and found:
-        size = {r: sum(weights[r[0] : r[1]]) for r in found}
-        most = max(size.values())
-        found = [r for r in found if 4 * size[r] >= most]
+    found = surges(weights, window, 1)
     return " ".join(lines[i][0] for start, end in found for i in range(start, end) if weights[i])
 
 

@@ -283,6 +283,26 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
+AD = "<div class='ad'>buy</div>" * 4
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div><h1>Head</h1>" + AD + "<p>" + "body " * 90 + "</p>" + AD + "<p>short end</p></div>", "Head " + "body " * 90 + "short end"),
+        ("<h1 class='article-title'>Title</h1><div><p>" + "body " * 30 + "</p></div>", "Title " + ("body " * 30).strip()),
+        ("<h1 class='article-title'>A title longer than the body</h1><div>body</div>", "A title longer than the body body"),
+        ("<div class=main-content><p>" + "body " * 30 + "</p></div><div>by the way</div>", ("body " * 30).strip()),
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>kept</p></body></html>", "kept"),
+        ("<head><title>T</title><style>p{}</style><p>kept<p>too", "kept too"),
+        ("<head><title>T</title> kept", "kept"),
+        ("<head><noscript><style>p{}</style></noscript><title>T</title></head><p>kept", "kept"),
+    ],
+)
+def test_main_text_loses_no_part_of_the_article(html, text):
+    assert htmltext.main_text(html) == text
+
+
 def test_pages_of_the_table(spark):
     for r in common.table(spark, SF, "pages").join(htmltext.extract(common.table(spark, SF, "pages")).select("page_id", "text"), "page_id").collect():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
