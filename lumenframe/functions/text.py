@@ -93,17 +93,25 @@ def find_similar(df: DataFrame, column: str, query: str, method: str = "cosine",
     return df.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(top)
 
 
-def similar_pairs(df: DataFrame, key: str, column: str, least: float = 0.5, max_share: float = 0.2) -> DataFrame:
-    """Pairs by binary cosine, met through shared tokens; a token in more than ``max_share`` of the rows brings no pair together,
-    but counts in the score, which is exact for the pairs that meet."""
-    sets = df.select(F.col(key).alias("k"), token_set(F.col(column)).alias("t"))
-    n = df.count()
-    long = sets.select("k", "t", F.explode("t").alias("w"))
-    rare = long.groupBy("w").count().where(F.col("count") <= F.greatest(F.lit(2.0), F.lit(max_share * n))).select("w")
-    kept = long.join(rare, "w")
-    met = kept.alias("a").join(kept.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.t").alias("x"), F.col("b.t").alias("y")).dropDuplicates(["a", "b"])
-    score = F.try_divide(F.size(F.array_intersect("x", "y")), F.sqrt(F.size("x").cast("double") * F.size("y")))
-    return met.select("a", "b", score.alias("score")).where(F.col("score") >= least)
+def similar_pairs(df: DataFrame, key: str, column: str, least: float = 0.5) -> DataFrame:
+    """All pairs that share a token and whose binary cosine is at least ``least``.
+
+    Equal token sets are compared as one. Sets of that cosine share at least ``least``² of either's tokens, so with tokens
+    ordered from rare to frequent they meet in a token of their prefixes: as many tokens as leave one less than that share.
+    """
+    rows = df.select(F.col(key).alias("k"), F.array_sort(token_set(F.col(column))).alias("s")).where(F.size("s") > 0).distinct()
+    sets = rows.select("s").distinct()
+    long = sets.select("s", F.explode("s").alias("w"))
+    ordered = long.join(long.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("t"))
+    share = F.greatest(F.ceil(F.lit(max(least, 0.0) ** 2) * F.size("s") - 1e-9).cast("int"), F.lit(1))
+    prefix = ordered.select("s", F.explode(F.slice("t", F.lit(1), F.greatest(F.size("s") - share + 1, F.lit(0)))["w"]).alias("w"))
+    met = prefix.select(F.col("s").alias("x"), "w").join(prefix.select(F.col("s").alias("y"), "w"), "w").where(F.col("x") < F.col("y")).select("x", "y").distinct()
+    score = F.size(F.array_intersect("x", "y")) / F.sqrt(F.size("x").cast("double") * F.size("y"))
+    near = met.select("x", "y", score.alias("score")).where(F.col("score") >= least)
+    side = lambda s, k: rows.select(F.col("s").alias(s), F.col("k").alias(k))
+    across = near.join(side("x", "i"), "x").join(side("y", "j"), "y").where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "score")
+    equal = side("x", "a").join(side("x", "b"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("score"))
+    return across.union(equal.where(F.col("score") >= least))
 
 
 # Masking

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .eda import is_pii, numeric_columns, safe_corr, uniqueness_scan
 from .sampling import uniform
@@ -135,14 +136,17 @@ def rule_segments(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], evaluator, seed: int = 42) -> DataFrame:
-    """The metric's fall when a feature's place in the vector takes another row's value, by a hash-ordered shift."""
+    """The metric's fall when a feature's place in the vector takes another row's value: rows are dealt at random into groups
+    of about 10,000, and values shift by one place around each group, so every row's value is used once."""
     base, rows = evaluator.evaluate(model.transform(df)), []
     wide = df.withColumn("_x", vector_to_array("features")).withColumn("_id", F.monotonically_increasing_id()).cache()
+    n = max(1, -(-wide.count() // 10_000))
+    group = Window.partitionBy("_b")
+    order = group.orderBy(F.xxhash64("_id", F.lit(seed)), "_id")
     for i, c in enumerate(columns):
-        n = 200
-        salted = wide.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(n)))
-        donors = salted.groupBy("_b").agg(F.min_by(F.col("_x")[i], F.xxhash64("_id", F.lit(seed))).alias("_v"))
-        moved = salted.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(n))).join(F.broadcast(donors), "_b")
+        value = F.col("_x")[i]
+        salted = wide.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(n)))
+        moved = salted.withColumn("_v", F.coalesce(F.lag(value).over(order), F.last(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
         changed = moved.withColumn("features", array_to_vector(F.transform("_x", lambda x, j: F.when(j == i, F.col("_v")).otherwise(x))))
         rows.append((c, float(base - evaluator.evaluate(model.transform(changed)))))
     wide.unpersist()

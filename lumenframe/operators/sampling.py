@@ -107,31 +107,43 @@ def regression_impute(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return model.transform(seen).withColumn(value, F.coalesce(value, "_p")).drop("_x", "_p")
 
 
-def knn_impute(df: DataFrame, value: str, by: list[str], k: int = 5, donors: int = 5000, key: str | None = None) -> DataFrame:
-    """The distance-weighted mean of the k nearest donors, from a bounded, documented set of ``donors`` rows with a value."""
-    import numpy as np
-
-    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [value, *by]))
-    rows = (random_sample(known, donors, key or by) if key or by else known.limit(donors)).select(value, *by).collect()
-    x, y = np.array([[float(r[c]) for c in by] for r in rows]).reshape(len(rows), len(by)), np.array([float(r[value]) for r in rows])
-    scale = x.std(axis=0) if len(x) else np.ones(len(by))
-    scale = np.where(scale > 0, scale, 1.0)
+def knn_impute(df: DataFrame, value: str, by: list[str], k: int = 5, block_rows: int = 5000) -> DataFrame:
+    """The distance-weighted mean of the k nearest of all rows with a value; ties go to the smaller value.
 
-    @F.pandas_udf("double")
-    def nearest(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in parts:
-            p = np.column_stack([c.astype(float) for c in columns])
-            out = np.full(len(p), np.nan)
-            for i in range(len(p)):
-                if len(x) and not np.isnan(p[i]).any():
-                    d = np.sqrt((((x - p[i]) / scale) ** 2).sum(axis=1))
-                    near = np.argsort(d, kind="stable")[:k]
-                    w = 1 / (d[near] + 1e-9)
-                    out[i] = (w @ y[near]) / w.sum()
-            yield pd.Series(out)
-
-    guess = F.nanvl(nearest(*[F.col(c) for c in by]), F.lit(None).cast("double"))
-    return df.withColumn(value, F.coalesce(F.col(value).cast("double"), F.when(F.col(value).isNull(), guess)))
+    Blocks of donors meet blocks of distinct places to fill in cells, and each cell keeps k donors a place.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = [f"_{i}" for i in range(len(by))]
+    places = [F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(by, names)]
+    whole = " AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in names)
+    donors = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_y"), *places).where(f"{whole} AND NOT isnan(_y)")
+    asked = df.where(F.col(value).isNull()).select(*places).where(whole).distinct()
+    n, *spread = donors.agg(F.count("*"), *[F.stddev_pop(c) for c in names]).first()
+    scale = np.array([x if x and x > 0 else 1.0 for x in spread])
+    blocks, sets = max(1, -(-n // block_rows)), max(1, -(-asked.count() // block_rows))
+    deal = lambda parts, salt, *c: F.pmod(F.xxhash64(*c, F.lit(salt)), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = donors.select("_y", *names, F.floor(F.rand(7) * blocks).cast("int").alias("i"), every(sets).alias("j"))
+    right = asked.select(*names, every(blocks).alias("i"), deal(sets, 2, *names).alias("j"))
+
+    def cell(own: pa.Table, asking: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if own.num_rows and asking.num_rows:
+            x, q = (np.column_stack([t[c].to_numpy() for c in names]) for t in (own, asking))
+            y = own["_y"].to_numpy()
+            for p in q:
+                d = np.sqrt((((x - p) / scale) ** 2).sum(axis=1))
+                out += [(*p, d[i], y[i]) for i in np.lexsort((y, d))[:k]]
+        return pa.table({c: pa.array([r[i] for r in out], pa.float64()) for i, c in enumerate([*names, "_d", "_y"])})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, ", ".join(f"{c} double" for c in [*names, "_d", "_y"]))
+    near = found.withColumn("_rn", F.row_number().over(Window.partitionBy(*names).orderBy("_d", "_y"))).where(F.col("_rn") <= k)
+    weight = 1 / (F.col("_d") + 1e-9)
+    guess = near.groupBy(*names).agg((F.sum(weight * F.col("_y")) / F.sum(weight)).alias("_guess"))
+    out = df.withColumns({n: F.col(f"`{c}`").cast("double") for c, n in zip(by, names)}).join(guess, names, "left")
+    return out.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.col("_guess")).alias(c) if c == value else F.col(f"`{c}`") for c in df.columns])
 
 
 def smart_impute(df: DataFrame) -> DataFrame:

@@ -233,3 +233,44 @@ def test_item_similarity_of_a_user_with_many_items(spark):
     norm = {i: math.sqrt(sum(r * r for r in v.values())) for i, v in vec.items()}
     want = {(a, b): sum(vec[a][u] * vec[b][u] for u in vec[a] if u in vec[b]) / norm[a] / norm[b] for a in vec for b in vec if a < b}
     assert got == pytest.approx(want) and len(got) == 780
+
+
+def test_similar_pairs_of_frequent_words(spark):
+    texts = ["alpha beta gamma delta"] * 5 + ["alpha beta gamma", "alpha beta", "beta other", "gamma Delta delta", "", None]
+    got = {(r["a"], r["b"]): r["score"] for r in text.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", 0.6).collect()}
+    sets = [set((t or "").lower().split()) for t in texts]
+    want = {(a, b): len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])) for a in range(11) for b in range(a + 1, 11) if sets[a] & sets[b]}
+    assert got == pytest.approx({p: s for p, s in want.items() if s >= 0.6}) and (0, 4) in got
+
+
+def test_knn_imputation_searches_every_donor(spark):
+    rows = [(i, float(i), float(i % 7), float(i * i)) for i in range(60)] + [(100 + i, i + 0.25, 1.0, None) for i in range(0, 60, 7)] + [(200, None, 1.0, None)]
+    got = {r["id"]: r["v"] for r in sampling.knn_impute(spark.createDataFrame(rows, "id int, x double, z double, v double"), "v", ["x", "z"], 3, block_rows=8).collect()}
+    sd = [math.sqrt(sum(r[c] ** 2 for r in rows[:60]) / 60 - (sum(r[c] for r in rows[:60]) / 60) ** 2) for c in (1, 2)]
+    for key, x, z, _ in rows[60:-1]:
+        near = sorted((math.hypot((r[1] - x) / sd[0], (r[2] - z) / sd[1]), r[3]) for r in rows[:60])[:3]
+        assert got[key] == pytest.approx(sum(v / (d + 1e-9) for d, v in near) / sum(1 / (d + 1e-9) for d, _ in near))
+    assert got[200] is None and got[5] == 25.0 and len(got) == len(rows)
+
+
+def test_permutation_uses_every_value_once(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from lumenframe.operators import ml
+
+    seen = []
+
+    class Model:
+        def transform(self, df):
+            return df
+
+    class Evaluator:
+        def evaluate(self, df):
+            from pyspark.ml.functions import vector_to_array
+
+            seen.append(sorted(r[0] for r in df.select(vector_to_array("features")[0]).collect()))
+            return 0.0
+
+    df = spark.range(1000).select(array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"))
+    ml.permutation_importance(Model(), df, ["x"], Evaluator())
+    assert seen[0] == seen[1]
