@@ -33,6 +33,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 #: Regions in which candidates are sought, and their tokens.
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9().\- /]*[0-9]")
 _ADDRESSES = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]+)+", re.I | re.A)
+_SPELLED = re.compile(r"at ?[)\]}]", re.I | re.A)
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 #: Tokens of an entity at most; digits of a region at least; characters before a span in which cue words count.
 MAX_TOKENS, MIN_DIGITS, CUE = 24, 7, 24
@@ -118,7 +119,7 @@ def _features(text: str, start: int, end: int, kind: int) -> list[str] | None:
 
 def regions(text: str) -> Iterator[Region]:
     spans = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= MIN_DIGITS and sum(c.isdigit() for c in m[0]) >= MIN_DIGITS - 3]
-    if "@" in text or "at)" in (low := text.lower()) or "at]" in low or "at}" in low:
+    if "@" in text or _SPELLED.search(text):
         spans += [m.span() for m in _ADDRESSES.finditer(text)]
     spans.sort()
     merged: list[list[int]] = []

@@ -117,6 +117,13 @@ def test_base_spans_equal_brute_force():
         assert pii.base_spans(text) == plain_pii(text), text
 
 
+@pytest.mark.parametrize("a, z", ["()", "[]", "{}"])
+def test_spaced_addresses_need_no_sign_elsewhere(a, z):
+    text = f"mail jane {a} AT {z} example {a} dot {z} com now"
+    alone, beside = ([text[r.bounds[0] : r.bounds[-1]] for r in pii.regions(t)] for t in (text, text + " @"))
+    assert alone == beside and alone and "example" in alone[0]
+
+
 def test_pii_spans_keep_the_base_and_find_more(spark):
     rows = [(i, f"call me at +1 (555) {200 + i}-4321 or mail n{i}@example.com now") for i in range(60)]
     extra = [(100, "ring (555) 234-9876 today"), (101, None), (102, ""), (103, "version 2 of 2024")]
