@@ -1,9 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by banded MinHash, with exact verification.
 
-Each distinct text gets one label per tree: a sequence of MinHash values of its word shingles. In a tree, texts whose labels share a
-prefix lie below one node of the sorted trie. The prefix is shortened from the full label until the chance that two texts of
-the threshold's similarity meet in some tree reaches the target recall; texts that meet at that depth are candidates. What
-is joined by candidate links is gathered in cells of bounded size, in which shingle sets are compared exactly.
+Each distinct text gets one key per band (here called a tree): a hash of a fixed number of MinHash values of its word
+shingles. That number is the largest, up to ``LABEL``, at which the chance that two texts of the threshold's similarity share
+some key reaches the target recall; texts that share a key are candidates. Fixed banding replaces an LSH forest: no sorted
+labels are kept and no prefix is shortened at run time. What is joined by candidate links is gathered in cells of bounded
+size, in which shingle sets are compared exactly.
 """
 
 from __future__ import annotations
