@@ -204,8 +204,9 @@ class _Lines:
         if tag in BLOCKS:
             self._flush()
         if self.counts.get(tag):
+            out = self._state()[0]
             self._close(tag)
-            if tag in BORDERS and not self._state()[0]:
+            if tag in BORDERS and not out:
                 self._border()
 
     def text(self, data: str) -> None:

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -317,6 +319,46 @@ def test_pages_of_the_table(spark):
         assert r["text"] == " ".join(p for p in parts if p)
 
 
+def unmarked(html):
+    """Without the elements, classes, ids and roles that tell what is the article."""
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|main|aside)\b[^>]*>", r"<\1div>", html))
+
+
+def test_unmarked_pages_keep_the_article_alone(spark):
+    kept = got = both = 0
+    for r in common.table(spark, "/root/testdata/sf0.01", "pages").collect():
+        a, b = (Counter(htmltext.main_text(h).split()) for h in (r["html"], unmarked(r["html"])))
+        kept, got, both = kept + sum(a.values()), got + sum(b.values()), both + sum((a & b).values())
+    assert both / kept >= 0.99 and both / got >= 0.99
+
+
+def test_surges_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        w = [float(x) for x in rng.choice([0, 0, 0, 5, 30, 90, 200], rng.integers(1, 40))]
+        dry = [i for i in range(len(w)) if sum(w[max(0, i - 1) : i + 1]) == 0 and i or sum(w[i : i + 2]) == 0]
+        runs, own = [], []
+        for i in range(len(w) + 1):
+            if i == len(w) or i in dry:
+                runs += [own] * bool(own)
+                own = []
+            else:
+                own.append(i)
+        runs = [[i for i in r if r[0] <= i] for r in runs]
+        trimmed = [(min(i for i in r if w[i]), max(i for i in r if w[i]) + 1) for r in runs if any(w[i] for i in r)]
+        peaks = [max(sum(w[i : min(i + htmltext.WINDOW, b)]) for i in range(a, b)) for a, b in trimmed]
+        least = min(htmltext.SURGE, htmltext.SURGE_SHARE * max(peaks, default=0.0))
+        got = htmltext.surges(w)
+        assert [(a, max(i for i in range(a, b) if w[i]) + 1) for a, b in got] == [r for r, p in zip(trimmed, peaks) if p >= least]
+
+
+@pytest.mark.parametrize("part, n", [("<a ", 300_000), ("<div>", 200_000), ("<div></p>", 100_000), ("<!-- ", 200_000), ("<a b='", 150_000), ("<p>a</b>", 100_000), ("</", 400_000), ("&", 1_000_000), ("x", 1_000_000)])
+def test_hostile_pages_take_linear_time(part, n):
+    began = time.perf_counter()
+    htmltext.main_text(part * n)
+    assert time.perf_counter() - began < 5
+
+
 # Nearest neighbours
 
 
@@ -348,7 +390,7 @@ def test_every_vector_length_is_searched(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.standard_normal(8)]) for i in range(60)] + [(100 + i, [float(v) for v in rng.standard_normal(3)]) for i in range(20)] + [(1000, [1.0] * 12), (10, rows_3 := [1.0, 2.0, 3.0])]
     got = {}
-    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 5, sample=40, block_rows=25, query_rows=3).collect():
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 5, sample=80, block_rows=25, query_rows=3, recall=1.0).collect():
         got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
     vec = {i: np.array(v) for i, v in rows[:-1]}
     threes = [i for i in vec if len(vec[i]) == 3]
@@ -362,15 +404,40 @@ def test_every_vector_length_is_searched(spark):
     assert len(got[10, 1]) == 2 and {v for v, _ in got[10, 1]} & set(threes) and (1000, 1) not in got
 
 
-def test_probing_finds_every_code_in_the_radius():
+def test_probing_retrieves_every_code_in_the_radius():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 16))
-    codes = ann.fit(x[:1000], 5, bits=64)
-    packed = codes.of(x)
-    for radius in (4, 9, 30):
-        block = ann.Block(x, packed, radius)
+    codes = ann.fit(x[:1000], 5)
+    own = codes.of(x)
+    for reach in (0, 1, 3):
+        block = ann.Block(x, own, codes.bits, reach)
+        radius = codes.substrings * (reach + 1) - 1
         for i in range(20):
-            assert set(block.candidates(packed[i], 1)) == set(np.flatnonzero(ann.distances(packed, packed[i]) <= radius))
+            apart = np.bitwise_count(own ^ own[i])
+            got = set(block.probed(own[i], reach))
+            assert got == set(np.flatnonzero((apart <= reach).any(axis=1))) and got >= set(np.flatnonzero(apart.sum(axis=1) <= radius))
+    assert len(ann.Block(x, own, codes.bits, 0).candidates(own[0] ^ 1, 3000)) == 3000
+
+
+def test_probing_reads_a_minor_share_at_the_recall(spark):
+    """On the table of embeddings itself: no query reads all rows, and the 5 nearest are among those probed."""
+    v = np.array([r[0] for r in common.table(spark, "/root/testdata/sf0.1", "embeddings").select("embedding").collect()], float)
+    codes = ann.fit(v, 5)
+    own, x = codes.of(v), ann.directions(v)
+    block, share, found = ann.Block(v, own, codes.bits, codes.reach), [], []
+    for i in range(0, len(v), 20):
+        got = block.probed(own[i], codes.reach)
+        score = x @ x[i]
+        score[i] = -9
+        share.append(len(got) / len(v))
+        found.append(np.isin(np.argsort(-score)[:5], got).mean())
+    assert np.mean(found) >= 0.93 and np.mean(share) <= 0.3 and max(share) < 0.6
+
+
+def test_cosines_of_huge_and_tiny_components():
+    v = np.array([[1e300, 1e300], [1e-300, 0.0], [3.0, 4.0]])
+    block = ann.Block(v, np.zeros((3, 1), np.uint16), 1, 0)
+    assert np.allclose(block.cosines(np.arange(3), np.array([1e300, 0.0])), [0.5**0.5, 1.0, 0.6])
 
 
 # Models on held-out labels
