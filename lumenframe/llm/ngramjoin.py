@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by banded MinHash, with exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
-Each distinct text gets one key per band (here called a tree): a hash of a fixed number of MinHash values of its word
-shingles. That number is the largest, up to ``LABEL``, at which the chance that two texts of the threshold's similarity share
-some key reaches the target recall; texts that share a key are candidates. Fixed banding replaces an LSH forest: no sorted
-labels are kept and no prefix is shortened at run time. What is joined by candidate links is gathered in cells of bounded
-size, in which shingle sets are compared exactly.
+Each distinct text gets a label per tree of the forest: a sequence of ``LABEL`` MinHash values of its word shingles. The labels of
+a tree, sorted, are its prefix trie; a pass over them links each text at its longest matched prefix. Matching starts with full
+labels. What they link is compared exactly; the similarities found tell what share of all links prefixes of that length
+reach, and prefixes are shortened until that share is the target recall. The floor is the length at which texts that are only
+just similar enough are met with the target recall. What is joined by candidate links is gathered in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -22,55 +22,112 @@ from .components import components
 
 #: Words of a shingle, and the Jaccard similarity from which two texts are linked.
 SHINGLE, THRESHOLD = 5, 0.8
-#: Trees of the forest, values of a full label, and the recall that the depth must reach at the threshold.
-TREES, LABEL, RECALL = 40, 8, 0.9999
+#: Trees of the forest, values of a full label, and the recall that is to be reached.
+TREES, LABEL, RECALL = 40, 10, 0.9999
+#: Bits in which a label keeps each value beyond the floor.
+LEVEL_BITS = 12
 #: Shingles of a block of candidates: a cell compares at most two blocks.
-BLOCK_SHINGLES = 256_000
+BLOCK_SHINGLES = 64_000
+#: Bins of similarity in which verified links are counted.
+BINS = 100
 
 
 def recall_at(depth: int, similarity: float = THRESHOLD, trees: int = TREES) -> float:
+    """The chance that two texts match on a prefix of ``depth`` in some tree."""
     return 1 - (1 - similarity**depth) ** trees
 
 
 def depth_for(recall: float = RECALL, similarity: float = THRESHOLD, trees: int = TREES, label: int = LABEL) -> int:
-    """The longest prefix, shortened step by step from the full label, that reaches the recall; at least 1."""
+    """The floor: the longest prefix that reaches the recall for texts of just this similarity; at least 1."""
     depth = label
     while depth > 1 and recall_at(depth, similarity, trees) < recall:
         depth -= 1
     return depth
 
 
+def shortened(found: np.ndarray, depth: int, floor: int, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix, not longer than ``depth``, that reaches the recall by the links that ``depth`` found.
+
+    ``found`` counts verified links by similarity, in ``BINS`` bins from 0 to 1. A link of similarity s stands for
+    1 / recall_at(depth, s) links; one more, at the threshold, stands for those that no count shows.
+    """
+    at = np.maximum(threshold, np.arange(len(found)) / BINS)
+    total = found / recall_at(depth, at, trees)
+    while depth > floor:
+        lost = (total * (1 - recall_at(depth, at, trees))).sum() + 1 - recall_at(depth, threshold, trees)
+        if lost <= (1 - recall) * max(1.0, total.sum()):
+            break
+        depth -= 1
+    return depth
+
+
 class Forest:
-    """Labels of shingle sets, cut to the prefix that is used."""
+    """Labels of shingle sets, one per tree."""
 
-    def __init__(self, trees: int = TREES, depth: int | None = None, seed: int = 11) -> None:
-        self.trees, self.depth = trees, depth or depth_for(trees=trees)
+    def __init__(self, trees: int, floor: int, label: int, seed: int = 11) -> None:
+        self.trees, self.floor, self.label = trees, floor, label
         rng = np.random.default_rng(seed)
-        n = self.trees * self.depth
+        n = trees * label
         self.a = (rng.integers(0, 1 << 32, n, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
         self.b = rng.integers(0, 1 << 32, n, np.uint64).astype(np.uint32)[:, None]
 
-    def prefixes(self, shingles: np.ndarray) -> np.ndarray:
-        """One 64-bit key per tree, equal where the prefixes are."""
+    def labels(self, shingles: np.ndarray) -> np.ndarray:
+        """Two 64-bit numbers per tree: a hash of tree and values up to the floor, and the values beyond it, first ones on top."""
         x = (shingles >> np.uint64(32)).astype(np.uint32)
         low = None
         for i in range(0, len(x), 1024):
             part = (self.a * x[i : i + 1024] + self.b).min(axis=1)
             low = part if low is None else np.minimum(low, part)
-        values = low.reshape(self.trees, self.depth).astype(np.uint64)
+        least = low.reshape(self.trees, self.label).astype(np.uint64)
         key = mixed(np.arange(1, self.trees + 1, dtype=np.uint64))
-        for level in range(self.depth):
-            key = mixed(key ^ values[:, level])
-        return key.view(np.int64)
+        for level in range(self.floor):
+            key = mixed(key ^ least[:, level])
+        rest = np.zeros(self.trees, np.uint64)
+        for level in range(self.floor, self.label):
+            rest = rest << np.uint64(LEVEL_BITS) | mixed(least[:, level]) >> np.uint64(64 - LEVEL_BITS)
+        return np.stack([key, rest], axis=1).view(np.int64)
+
+
+class TrieWalk:
+    """A walk over sorted labels. Each label is linked with the first one that shares its longest matched prefix, so that the links of
+    at least a given length join all labels that share a prefix of that length."""
+
+    def __init__(self, floor: int, label: int) -> None:
+        self.floor, self.levels = floor, label - floor
+        self.last: tuple[int, int] | None = None
+        self.heads = np.zeros(self.levels + 1, np.int64)
+
+    def links(self, key: np.ndarray, rest: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, earlier node, length of the prefix) for the labels that match one before them."""
+        n = len(key)
+        if not n:
+            return node[:0], node[:0], node[:0]
+        before = (np.concatenate([[self.last[0] if self.last else 0], key[:-1]]), np.concatenate([[self.last[1] if self.last else 0], rest[:-1]]))
+        same = key == before[0]
+        same[0] &= self.last is not None
+        other = (rest ^ before[1]).astype(np.uint64)
+        common = np.zeros(n, np.int64)
+        for level in range(1, self.levels + 1):
+            common += (other >> np.uint64(LEVEL_BITS * (self.levels - level))) == 0
+        common = np.where(same, common, -1)
+        at, firsts = np.arange(n), []
+        for level in range(self.levels + 1):
+            begins = np.maximum.accumulate(np.where(common < level, at, -1))
+            firsts.append(np.where(begins < 0, self.heads[level], node[begins]))
+        self.last, self.heads = (int(key[-1]), int(rest[-1])), np.array([f[-1] for f in firsts])
+        matched = np.flatnonzero(same)
+        hub = np.array(firsts)[common[matched], matched]
+        return node[matched], hub, common[matched] + self.floor
 
 
 _shared: dict[tuple, tuple[SpanHasher, Forest]] = {}
 
 
-def _tools(trees: int, depth: int) -> tuple[SpanHasher, Forest]:
-    if (trees, depth) not in _shared:
-        _shared[trees, depth] = SpanHasher(), Forest(trees, depth)
-    return _shared[trees, depth]
+def _tools(trees: int, floor: int, label: int) -> tuple[SpanHasher, Forest]:
+    key = (trees, floor, label)
+    if key not in _shared:
+        _shared[key] = SpanHasher(), Forest(*key)
+    return _shared[key]
 
 
 def node_of(words: bytes) -> int:
@@ -79,12 +136,12 @@ def node_of(words: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, th, node, n_shingles, prefixes of each row; node is null for a text without words."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node long, n_shingles int, prefixes array<long>"
+def signatures(docs: DataFrame, size: int, trees: int, floor: int, label: int) -> DataFrame:
+    """doc_id, th, node, n_shingles, labels (key and rest of each tree in turn) of each row; node is null for a text without words."""
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node long, n_shingles int, labels array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, forest = _tools(trees, depth)
+        hasher, forest = _tools(trees, floor, label)
         for batch in batches:
             seen: dict[int, tuple[int, np.ndarray]] = {}
             nodes, sizes, keys, ends = [], [], [], [0]
@@ -93,21 +150,21 @@ def signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
                 node = node_of(words) if words else None
                 if words and node not in seen:
                     s = hasher.shingles(words, size)
-                    seen[node] = len(s), forest.prefixes(s)
+                    seen[node] = len(s), forest.labels(s).ravel()
                 n, own = seen[node] if words else (0, np.empty(0, np.int64))
                 nodes.append(node)
                 sizes.append(n)
                 keys.append(own)
                 ends.append(ends[-1] + len(own))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "th", "node", "n_shingles", "prefixes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["doc_id", "th", "node", "n_shingles", "labels"])
 
     return docs.mapInArrow(run, schema)
 
 
-def verified(sets: list[np.ndarray], group: np.ndarray, half: np.ndarray, across: bool, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the places of the sets of its group whose Jaccard similarity reaches the threshold. ``across``:
-    only pairs with one set of either half. Exact: common members are counted by way of the members' lists of sets."""
+def verified(sets: list[np.ndarray], group: np.ndarray, half: np.ndarray, across: bool, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set, the places of the sets of its group whose Jaccard similarity reaches the threshold, and the similarities.
+    ``across``: only pairs with one set of either half. Exact: common members are counted by way of the members' lists of sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     members, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -129,9 +186,10 @@ def verified(sets: list[np.ndarray], group: np.ndarray, half: np.ndarray, across
             near &= half != half[i]
         j = np.flatnonzero(near)
         both = common[j]
-        j = j[both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9]
-        if len(j):
-            yield i, j
+        union = sizes[i] + sizes[j] - both
+        fine = both >= threshold * union - 1e-9
+        if fine.any():
+            yield i, j[fine], both[fine] / union[fine]
 
 
 def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, label: int = LABEL) -> DataFrame:
@@ -143,11 +201,13 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
     own. Repeated rows and copies are classes' members like any others. Other columns aren't read; an empty table gives an
     empty one; where all doc_ids of a class are null, so is its class_id.
 
-    Copies are one class before anything is compared, by a 64-bit address of their words. Candidates form a star around the
-    smallest class of a trie node, never all pairs; what the stars connect is split into blocks of
-    ``BLOCK_SHINGLES`` shingles, and each pair of blocks is a cell of its own, so that no task holds more than two blocks.
-    Links leave a cell as counts and as the smallest linked class, a row per class. The time of a group of n different
-    near copies still grows with n², by the comparisons that counting its links takes.
+    Copies are one class before anything is compared, by a 64-bit address of their words, and shingles are compared by 64-bit
+    hashes: different words count as equal with a chance of n² / 2^65 among n texts, or shingles of two texts. Labels are
+    range-partitioned, so that however many texts share a prefix, no task walks over more than its part, and what runs on
+    from one part to the next is linked by the parts' first and last labels. What the links connect is split into blocks of
+    about ``BLOCK_SHINGLES`` shingles, and each pair of blocks is a cell of its own; small components share cells, of which there
+    are as many as their shingles need. Links leave a cell as counts and as the smallest linked class, a row per class. The time
+    of a group of n different near copies still grows with n², by the comparisons that counting its links takes.
     """
     signed, full = _linked(docs, size, threshold, trees, recall, label)
     named = full.join(full.groupBy("component").agg(F.min("least_id").alias("class_id")), "component").select("node", "class_id", "n_links")
@@ -156,29 +216,83 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
     )
 
 
+def prefix_links(classes: DataFrame, floor: int, label: int, folder: str) -> DataFrame:
+    """u, v, depth: each node of ``classes`` (node, labels) with the first one in label order that shares its longest matched
+    prefix in a tree, of ``depth`` values; texts that match nothing up to the floor have no row."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("labels") - 1, F.lit(2)), lambda i: F.struct(F.get("labels", i).alias("key"), F.get("labels", i + 1).alias("rest")))
+    forest = classes.where(F.size("labels") > 0).select("node", F.inline(pairs))
+    schema = "u long, v long, depth int, key long, rest long"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries, first, last = TrieWalk(floor, label), None, None
+        for batch in batches:
+            key, rest, node = (batch.column(i).to_numpy() for i in range(3))
+            if not len(key):
+                continue
+            first = first or (key[0], rest[0], node[0])
+            last = (key[-1], rest[-1], node[-1])
+            u, v, depth = tries.links(key, rest, node)
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(depth, pa.int32()), none, none], names=["u", "v", "depth", "key", "rest"])
+        if first:
+            key, rest, node = (pa.array([a, b], pa.int64()) for a, b in zip(first, last))
+            yield pa.RecordBatch.from_arrays([node, pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32()), key, rest], names=["u", "v", "depth", "key", "rest"])
+
+    in_order = forest.select("key", "rest", "node")
+    walked = stored(in_order.repartitionByRange(shuffle_parts(classes.sparkSession), "key", "rest", "node").sortWithinPartitions("key", "rest", "node").mapInArrow(walk, schema), f"{folder}/walked")
+    # two labels per part, in one task
+    ends = walked.where("key IS NOT NULL").select("key", "rest", F.col("u").alias("node")).repartition(1).sortWithinPartitions("key", "rest", "node").mapInArrow(walk, schema)
+    both = walked.unionByName(ends).where("key IS NULL AND u != v").select("u", "v", "depth")
+    return both.groupBy("u", "v").agg(F.max("depth").alias("depth"))
+
+
 def _linked(docs: DataFrame, size: int, threshold: float, trees: int, recall: float, label: int) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows; and node, least_id, kept (place of the row that stands for the node), component, n_links of each node."""
     spark = docs.sparkSession
     prepare(spark)
     folder = shared_folder(spark, "ngramjoin")
-    depth = depth_for(recall, threshold, trees, label)
+    floor = depth_for(recall, threshold, trees, label)
+    label = min(label, floor + 63 // LEVEL_BITS)
     rows = docs.select("doc_id", F.xxhash64(text_column()).alias("th"), text_column().alias("text"))
-    signed = stored(signatures(rows, size, trees, depth), f"{folder}/signed")
+    signed = stored(signatures(rows, size, trees, floor, label), f"{folder}/signed")
     classes = stored(
         signed.where("node IS NOT NULL").groupBy("node").agg(
-            F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("at"), F.min(_place()).alias("kept"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes")
+            F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("at"), F.min(_place()).alias("kept"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels")
         ),
         f"{folder}/classes",
     )
+    links = stored(prefix_links(classes, floor, label, folder), f"{folder}/links")
+    known = classes.select("node", "copies", "at", "n_shingles")
+
+    depth = label
+    while True:
+        here = f"{folder}/{depth}"
+        near = stored(_verified(rows, known, components(links.where(F.col("depth") >= depth), f"{here}/candidates"), size, threshold, (trees, floor, label)), f"{here}/near")
+        found = np.zeros(BINS + 1)
+        for r in near.select(F.posexplode("found").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            found[r["bin"]] = r["n"] / 2
+        shorter = shortened(found, depth, floor, threshold, trees, recall)
+        if shorter == depth or links.where((F.col("depth") >= shorter) & (F.col("depth") < depth)).isEmpty():
+            break
+        depth = shorter
+
+    joined = components(near.where("node IS NOT NULL").select(F.col("node").alias("u"), F.col("hub").alias("v")), f"{folder}/joined")
+    counted = near.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    full = (
+        classes.select("node", "copies", "least_id", "kept")
+        .join(joined, "node", "left").join(counted, "node", "left")
+        .select("node", "least_id", "kept", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    )
+    return signed, full
 
-    met = classes.select("node", F.explode("prefixes").alias("prefix"))
-    stars = met.groupBy("prefix").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("prefix", "hub")
-    links = met.join(stars, "prefix").where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    candidates = components(links, f"{folder}/candidates")
 
-    grouped = candidates.join(classes.select("node", "copies", "at", "n_shingles"), "node")
-    blocks = grouped.groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    cells = 8 * shuffle_parts(spark)
+def _verified(rows: DataFrame, known: DataFrame, candidates: DataFrame, size: int, threshold: float, forest: tuple[int, int, int]) -> DataFrame:
+    """node, hub, links: for each node with links, the smallest node that its cell connects it with and the rows it links to
+    there; and a row per cell without a node, found: the cell's links by bin of similarity, each link twice."""
+    grouped = candidates.join(known, "node")
+    blocks = grouped.groupBy("component").agg(F.sum("n_shingles").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int"))
+    small = blocks.where("blocks = 1").agg(F.sum("size")).first()[0] or 0
+    cells = max(shuffle_parts(rows.sparkSession), int(4 * small // BLOCK_SHINGLES))
     split = F.col("blocks") > 1
     own = F.when(split, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
     placed = (
@@ -193,13 +307,14 @@ def _linked(docs: DataFrame, size: int, threshold: float, trees: int, recall: fl
         F.when(split, F.xxhash64("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(cells))).alias("cell"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "copies", "block", "text",
     )
+    schema = pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("links", pa.int64()), ("found", pa.list_(pa.int64()))])
 
     def compare(cell: pa.Table) -> pa.Table:
         at: dict[int, int] = {}
         for i, node in enumerate(cell["node"].to_pylist()):
             at.setdefault(node, i)
         cell = cell.take(pa.array(list(at.values()), pa.int64()))
-        hasher, _ = _tools(trees, depth)
+        hasher, _ = _tools(*forest)
         sets = [hasher.shingles(normal_words(t), size) for t in cell["text"].to_pylist()]
         copies = cell["copies"].to_numpy()
         nodes = cell["node"].to_numpy()
@@ -211,24 +326,20 @@ def _linked(docs: DataFrame, size: int, threshold: float, trees: int, recall: fl
                 x = root[x]
             return x
 
-        linked = np.zeros(len(sets), np.int64)
-        for i, near in verified(sets, cell["component"].to_numpy(), cell["block"].to_numpy(), cell["i"][0].as_py() != cell["j"][0].as_py(), threshold):
+        linked, found = np.zeros(len(sets), np.int64), np.zeros(BINS + 1, np.int64)
+        for i, near, similar in verified(sets, cell["component"].to_numpy(), cell["block"].to_numpy(), cell["i"][0].as_py() != cell["j"][0].as_py(), threshold):
             linked[i] = copies[near].sum()
+            found += np.bincount((similar * BINS + 1e-9).astype(np.int64), minlength=BINS + 1)
             for j in near[near > i]:
                 a, b = top(i), top(int(j))
                 root[max(a, b)] = min(a, b)
         have = np.flatnonzero(linked)
-        return pa.table({"node": nodes[have], "hub": nodes[[top(int(i)) for i in have]] if len(have) else nodes[:0], "links": linked[have]}, schema=pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("links", pa.int64())]))
+        if not len(have):
+            return schema.empty_table()
+        tops = nodes[[top(int(i)) for i in have]]
+        return pa.table([pa.array([*nodes[have], None], pa.int64()), pa.array([*tops, None], pa.int64()), pa.array([*linked[have], None], pa.int64()), pa.array([None] * len(have) + [found.tolist()], pa.list_(pa.int64()))], schema=schema)
 
-    near = stored(in_cells.groupBy("cell", "i", "j").applyInArrow(compare, "node long, hub long, links long"), f"{folder}/near")
-    joined = components(near.select(F.col("node").alias("u"), F.col("hub").alias("v")), f"{folder}/joined")
-    counted = near.groupBy("node").agg(F.sum("links").alias("links"))
-    full = (
-        classes.select("node", "copies", "least_id", "kept")
-        .join(joined, "node", "left").join(counted, "node", "left")
-        .select("node", "least_id", "kept", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    return signed, full
+    return in_cells.groupBy("cell", "i", "j").applyInArrow(compare, "node long, hub long, links long, found array<long>")
 
 
 def _place(th: Column | str = "th") -> Column:
@@ -249,9 +360,3 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
     rows = placed.join(kept, "_place", "left_semi")
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     return rows.groupBy("_place").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), hashed)).alias("_row")).select("_row.*")
-
-
-def expected_recall(similarity: float, trees: int = TREES, depth: int | None = None) -> float:
-    return recall_at(depth or depth_for(), similarity, trees)
-
-

@@ -257,7 +257,59 @@ def test_deduplication_keeps_a_row_of_every_class(spark):
 
 
 def test_forest_depth_reaches_its_recall():
-    assert ngramjoin.recall_at(ngramjoin.depth_for()) >= ngramjoin.RECALL > ngramjoin.recall_at(ngramjoin.depth_for() + 1)
+    floor = ngramjoin.depth_for()
+    assert ngramjoin.recall_at(floor) >= ngramjoin.RECALL > ngramjoin.recall_at(floor + 1)
+    found = np.zeros(ngramjoin.BINS + 1)
+    assert ngramjoin.shortened(found, 10, floor) == floor  # nothing found yet: what can't be seen counts
+    found[95] = 5000
+    deep = ngramjoin.shortened(found, 10, floor)
+    assert deep > floor
+    found[80] = 5000
+    assert ngramjoin.shortened(found, 10, floor) == floor < deep
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_trie_walk_joins_what_shares_a_prefix(parts):
+    """Links of at least a given length connect labels exactly as their common prefixes do, however batches and parts cut them."""
+    rng = np.random.default_rng(parts)
+    floor, label = 2, 4
+    levels = label - floor
+    key = rng.integers(0, 6, 200)
+    values = rng.integers(0, 3, (200, levels))
+    rest = sum(values[:, i] << ngramjoin.LEVEL_BITS * (levels - 1 - i) for i in range(levels))
+    node = np.arange(200)
+    order = np.lexsort((node, rest, key))
+    key, rest, node, values = key[order], rest[order], node[order], values[order]
+    links, ends = [], []
+    for part in np.array_split(np.arange(200), parts):
+        walk = ngramjoin.TrieWalk(floor, label)
+        for batch in np.array_split(part, 4):
+            links += zip(*walk.links(key[batch], rest[batch], node[batch]))
+        ends += [part[0], part[-1]]
+    links += zip(*ngramjoin.TrieWalk(floor, label).links(key[ends], rest[ends], node[ends]))
+    for depth in range(floor, label + 1):
+        root = {int(n): int(n) for n in node}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v, d in links:
+            if d >= depth:
+                root[max(top(int(u)), top(int(v)))] = min(top(int(u)), top(int(v)))
+        groups, expected = {}, {}
+        for i, n in enumerate(node):
+            groups.setdefault(top(int(n)), set()).add(int(n))
+            expected.setdefault((key[i], *values[i, : depth - floor]), set()).add(int(n))
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_hot_prefix_is_walked_in_parts(spark, tmp_path):
+    rows = [(i, [7, 5] * 3) for i in range(600)] + [(1000 + i, [100 + 3 * i, 5, 101 + 3 * i, 5, 102 + 3 * i, 0]) for i in range(40)]
+    links = ngramjoin.prefix_links(spark.createDataFrame(rows, "node long, labels array<long>"), 7, 10, str(tmp_path))
+    joined = components.components(links.select("u", "v"), str(tmp_path / "c")).groupBy("component").count().collect()
+    assert {(r["component"], r["count"]) for r in joined} == {(0, 600)}
 
 
 def test_components(spark, tmp_path):
