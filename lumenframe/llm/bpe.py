@@ -31,8 +31,9 @@ _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f",
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Signs that may follow a word; no rule of the pattern joins them with letters.
 _SIGNS = ".,;:!?*#$%&)"
-#: Keys of a generation of a worker's caches of cuts and of pieces; only speed and memory depend on them.
-CACHE_CUTS, CACHE_PIECES = 350_000, 60_000
+#: Keys of a generation of a worker's caches of cuts and of pieces, and characters of a key; only speed and memory depend on
+#: them. A key and its ids take less than 500 bytes, so that both generations of all caches stay below 500 MB at the very worst.
+CACHE_CUTS, CACHE_PIECES, CACHE_CHARS = 350_000, 60_000, 40
 
 
 def byte_alphabet() -> list[str]:
@@ -74,18 +75,9 @@ def rank_tokenizer(ranks: dict[bytes, int], pattern: str):
     return out
 
 
-def file_tokenizer(path: str):
-    """A tokenizer file whose special tokens, where they occur in a text, are ordinary text."""
-    from tokenizers import Tokenizer
-
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
-
-
 class _Recent(dict):
     """A cache of what ``make`` gives for a key. When it is full, its entries become the old generation, of which those that are
-    met again come back, so that frequent keys stay and memory holds two generations."""
+    met again come back, so that frequent keys stay and memory holds two generations. Long keys aren't kept."""
 
     def __init__(self, make, size: int) -> None:
         super().__init__()
@@ -95,6 +87,8 @@ class _Recent(dict):
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
+        if len(key) > CACHE_CHARS:
+            return out
         if len(self) >= self.size:
             self.old = self.copy()
             self.clear()
@@ -106,11 +100,13 @@ class CutEncoder:
     """Token ids of whole texts as little-endian 32-bit integers, by way of their distinct cuts.
 
     A cut of ASCII or Latin letters is split here, by the same pattern over those characters alone, and its distinct pieces go
-    to the tokenizer's model; any other cut takes the whole tokenizer.
+    to the tokenizer's model; any other cut takes the whole tokenizer, and so does a text that holds a token which the
+    tokenizer looks for before it splits.
     """
 
     def __init__(self, tokenizer, cuts: bool = True) -> None:
         self.tokenizer, self.model, self.cuts = tokenizer, tokenizer.model, cuts
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (t.special and tokenizer.encode_special_tokens)]
         self.first, self.later, self.pieces = _Recent(self._first, CACHE_PIECES), _Recent(self._later, CACHE_CUTS), _Recent(self._piece, CACHE_PIECES)
 
     def _first(self, cut: str) -> bytes:
@@ -137,7 +133,7 @@ class CutEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out, first, later = [], self.first.__getitem__, self.later.__getitem__
         for text in texts:
-            if not self.cuts or _INNER_SPACE.search(text):
+            if not self.cuts or _INNER_SPACE.search(text) or any(t in text for t in self.added):
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 head, *tail = text.split(" ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,18 +21,30 @@ _WORD_TABLE = bytes(
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that very long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bound what one Arrow batch holds, so that very long texts can't fill a Python worker.
+
+    Spark reads these session settings when a result is computed, so they have to stay; smaller ones are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; it is deleted when the session's JVM ends.
 
-    Where the setting is missing (tests on one machine) a local temporary folder serves.
+    Where the setting is missing, a run in one process takes a temporary folder of its machine, and a cluster is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base and not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{(base or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def stored(df: DataFrame, folder: str) -> DataFrame:
@@ -58,13 +71,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, id_col: str = "doc_id"
-) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled (text, label) rows of each class that aren't held out, for the driver.
+def sampled_texts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The whole texts of the ids in ``ids``, which are broadcast; of rows that share an id, the text of the smallest hash."""
+    found = docs.select(id_col, text_column().alias("text")).join(F.broadcast(ids), id_col)
+    return found.groupBy(*ids.columns).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id") -> list[tuple[str, int]]:
+    """At most ``per_class`` labelled (whole text, label) rows of each class that aren't held out, for the driver.
 
     The rows with the smallest hash of doc_id are taken, so the sample doesn't follow order or place. ``per_class``
-    bounds the ids that are broadcast and the rows that are collected; ``max_chars`` bounds the text of a training row.
+    bounds the ids that are broadcast and the rows that are collected.
     """
     known = (
         labels.select(F.col(id_col), F.col(label).cast("int").alias("y"))
@@ -76,12 +93,7 @@ def training_rows(
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = (
-        docs.select(id_col, F.substring(text_column(), 1, max_chars).alias("text"))
-        .join(F.broadcast(picked), id_col)
-        .dropDuplicates([id_col])
-        .collect()
-    )
+    rows = sampled_texts(docs, picked, id_col).collect()
     return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r[id_col], r["text"]))]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, normal_words, text_column
+from .common import annotated, normal_words, shared_folder, stored, text_column
 
 #: Words of a window.
 WINDOW = 13
@@ -85,8 +85,7 @@ def _searcher_of(key: int, shared, size: int) -> WuManber:
     return _searchers[key]
 
 
-def _with_hits(docs: DataFrame, block: list[tuple[str, bytes]], size: int, b: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def _with_hits(docs: DataFrame, shared, size: int, b: int) -> DataFrame:
     key = shared._jbroadcast.id()
 
     def start():
@@ -113,22 +112,32 @@ def _with_hits(docs: DataFrame, block: list[tuple[str, bytes]], size: int, b: in
     return annotated(docs, "text", start, {"n_words": "long", f"_hits_{b}": "array<array<bigint>>", f"_items_{b}": "array<string>"})
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20, blocks_at_once: int = 2) -> DataFrame:
     """The columns of ``docs`` with n_words, hits (disjoint word ranges [start, end) that occurrences cover, ascending) and
     items (ids of the items with an occurring window, as text, sorted).
 
     Null texts have no words; items without words have no window; a null item_id is the text "null"; repeated rows stay;
     empty tables give no hits or no rows. Each document is searched whole where it lies, and nothing of ``docs`` is
-    shuffled. The benchmark is broadcast in blocks of about ``block_chars`` characters of text (an item longer than that
-    makes a block longer); each further block is one more search over the batches, and their ranges are made one.
+    shuffled; very long texts take time in proportion. The benchmark is broadcast in blocks of about ``block_chars`` characters of
+    text (an item longer than that makes a block longer). At most ``blocks_at_once`` blocks are held at a time: beyond them,
+    what has been found is written to the shared folder, their broadcasts are destroyed, and the next ones are searched, so that
+    memory doesn't grow with the benchmark. The ranges of all blocks are made one. Columns n_words, hits and items of ``docs``
+    are replaced.
     """
     total = benchmark.agg(F.sum(F.length(text_column()))).first()[0] or 0
     blocks = int(total // block_chars) + 1
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_column().alias("text"))
-    names, out = list(docs.columns), docs
+    spark = docs.sparkSession
+    names, out, held = list(docs.columns), docs, []
     for b in range(blocks):
+        if len(held) == blocks_at_once:
+            out = stored(out, shared_folder(spark, "decontam"))
+            for shared in held:
+                shared.destroy()
+            held = []
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        out = _with_hits(out, [(r["item"], normal_words(r["text"])) for r in own.collect()], size, b)
+        held.append(spark.sparkContext.broadcast([(r["item"], normal_words(r["text"])) for r in own.toLocalIterator()]))
+        out = _with_hits(out, held[-1], size, b)
     if blocks == 1:
         hits, found = F.col("_hits_0"), F.col("_items_0")
     else:

@@ -10,30 +10,36 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from functools import lru_cache
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_column
+from .common import prepare, sampled_texts, text_column
 
 #: The kinds, in the order in which equal starts are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: A match begins where a run of digits does; saying so keeps long runs from being tried at every digit.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+_DIGITS = frozenset("0123456789")
+_ZEROS = {ord(c): "0" for c in _DIGITS}
+
 #: Regions in which candidates are sought, and their tokens.
 _NUMBERS = re.compile(r"[+(]?[0-9][0-9().\- /]*[0-9]")
-_ADDRESSES = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]+)+", re.I | re.A)
-_SPELLED = re.compile(r"at ?[)\]}]", re.I | re.A)
+#: The sign of an address, as it is or spelled out, and the domain after it.
+_SIGN = re.compile(r"@|[(\[{] ?at ?[)\]}]", re.I | re.A)
+_AFTER = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?[A-Za-z0-9-]++)+", re.I | re.A)
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 #: Tokens of an entity at most; digits of a region at least; characters before a span in which cue words count.
 MAX_TOKENS, MIN_DIGITS, CUE = 24, 7, 24
@@ -79,48 +85,73 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Region:
-    """Token ends in a text, and candidates (first token, token after the last, kind, features)."""
+    """Token ends in a text, and candidates (first token, token after the last, kind, features or their score)."""
 
     bounds: list[int]
-    candidates: list[tuple[int, int, int, list[str]]] = field(default_factory=list)
+    candidates: list[tuple[int, int, int, list[str] | float]] = field(default_factory=list)
 
 
 def _near(c: str) -> str:
     return "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if not c.strip() else c
 
 
-def _features(text: str, start: int, end: int, kind: int) -> list[str] | None:
-    """Names of the features of a whole span as an entity of ``kind``; None if it can't be one."""
-    span = text[start:end]
-    digits = [x for x in re.split(r"[^0-9]+", span) if x]
-    n = sum(map(len, digits))
-    signed = "@" in span or re.search(r"[(\[{] ?at ?[)\]}]", span, re.I)
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges that look like an address with a sign or a spelled one; each sign is tried once, from its place outwards."""
+    after = 0
+    for sign in _SIGN.finditer(text):
+        start = sign.start() - (sign.start() > after and text[sign.start() - 1] == " ")
+        end = start
+        while start > after and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < end and (m := _AFTER.match(text, sign.end())):
+            yield start, m.end()
+            after = m.end()
+
+
+@lru_cache(maxsize=1 << 16)
+def _shape(plain: str) -> tuple[tuple[int, tuple[str, ...]], ...]:
+    """(kind, names of features) by the form of a span of numbers, whose digits are all written 0, for the kinds it can be."""
+    groups = [len(x) for x in re.split(r"[^0]+", plain) if x]
+    n = sum(groups)
+    seps = "".join(sorted(set(plain) - {"0"}))
+    out = (f"shape={'-'.join(map(str, groups))}", f"n={n}", f"groups={min(len(groups), 6)}", f"seps={seps}", f"plus={plain[0] == '+'}", f"paren={'(' in plain}")
+    fits = {1: len(groups) == 4 and max(groups) <= 3, 2: n >= 12, 3: MIN_DIGITS <= n <= 15}
+    return tuple((kind, tuple(f"{KINDS[kind]}:{x}" for x in out)) for kind, fine in fits.items() if fine)
+
+
+def _particular(text: str, start: int, end: int, kind: int) -> list[str]:
+    """Names of the features of a span that its form doesn't tell."""
+    span, out = text[start:end], []
     if kind == 0:
-        if not signed or not span[-1].isalnum() or not re.match(r"[A-Za-z0-9._%+-]*[A-Za-z0-9]", span):
-            return None
         tail = re.split(r"\.|[)\]}]", span)[-1].strip()
         out = ["sign" if "@" in span else "spelled", f"tail={min(len(tail), 5)}{'a' if tail.isalpha() else ''}", f"parts={min(4, len(re.findall(r'[.]|dot', span)))}", f"space={' ' in span}"]
-    else:
-        if signed or n < MIN_DIGITS - 3 * (kind == 1) or n > 19 or re.search(r"[A-Za-z]", span):
-            return None
-        if kind == 1 and (len(digits) != 4 or max(map(len, digits)) > 3) or kind == 2 and n < 12 or kind == 3 and n > 15:
-            return None
-        shape = "-".join(str(len(x)) for x in digits)
-        seps = "".join(sorted({c for c in span if not c.isdigit()}))
-        out = [f"shape={shape}", f"n={n}", f"groups={min(len(digits), 6)}", f"seps={seps}", f"plus={span[0] == '+'}", f"paren={'(' in span}"]
-        if kind == 1:
-            out.append(f"octets={all(int(x) <= 255 for x in digits)}")
-        if kind == 2:
-            out.append(f"luhn={luhn(''.join(digits))}")
+    elif kind == 1:
+        out = [f"octets={all(int(x) <= 255 for x in re.findall(r'[0-9]+', span))}"]
+    elif kind == 2:
+        out = [f"luhn={luhn(re.sub(r'[^0-9]', '', span))}"]
     before = text[max(0, start - CUE) : start].lower()
     out += [f"cue={any(c in before for c in CUES[KINDS[kind]])}", f"left={_near(text[start - 1]) if start else 'edge'}", f"right={_near(text[end]) if end < len(text) else 'edge'}", "bias"]
     return [f"{KINDS[kind]}:{x}" for x in out]
 
 
-def regions(text: str) -> Iterator[Region]:
+def _kinds(text: str, start: int, end: int, plain: str | None) -> tuple[tuple[int, tuple[str, ...]], ...]:
+    """What a span can be: an address where ``plain`` is None, else what its form allows."""
+    if plain is not None:
+        return _shape(plain)
+    span = text[start:end]
+    return ((0, ()),) if span[-1].isalnum() and re.match(r"[A-Za-z0-9._%+-]*[A-Za-z0-9]", span) else ()
+
+
+def features(text: str, start: int, end: int, plain: str | None) -> list[tuple[int, list[str]]]:
+    """(kind, names of all features) of a whole span for the kinds that it can be."""
+    return [(kind, [*form, *_particular(text, start, end, kind)]) for kind, form in _kinds(text, start, end, plain)]
+
+
+def regions(text: str, of: Callable[[str, int, int, str | None], list] = features) -> Iterator[Region]:
+    """Places of the text with candidates, ``of`` each span that may be one: by default its features. The work is linear in the
+    text's length: a token begins at most ``MAX_TOKENS`` spans."""
     spans = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= MIN_DIGITS and sum(c.isdigit() for c in m[0]) >= MIN_DIGITS - 3]
-    if "@" in text or _SPELLED.search(text):
-        spans += [m.span() for m in _ADDRESSES.finditer(text)]
+    spans += _addresses(text)
     spans.sort()
     merged: list[list[int]] = []
     for s, e in spans:
@@ -131,15 +162,31 @@ def regions(text: str) -> Iterator[Region]:
     for s, e in merged:
         bounds = [s, *(m.end() for m in _TOKEN.finditer(text, s, e))]
         region = Region(bounds)
-        starts = [text[b] for b in bounds[:-1]]
-        for i, a in enumerate(starts):
-            if not (a.isalnum() or a in "+("):
+        signs = [m.span() for m in _SIGN.finditer(text, s, e)]
+        plain, at = text[s:e].translate(_ZEROS), 0
+        # digits, and tokens with letters, before each bound; bounds at which a span may end
+        digits, letters = [0], [0]
+        for a, b in zip(bounds, bounds[1:]):
+            digits.append(digits[-1] + (b - a if text[a] in _DIGITS else 0))
+            letters.append(letters[-1] + text[a].isalpha())
+        ends = [j for j in range(1, len(bounds)) if text[bounds[j] - 1].isalnum()]
+        near = 0
+        for i, a in enumerate(bounds[:-1]):
+            if not (text[a].isalnum() or text[a] in "+("):
                 continue
-            for j in range(i + 1, min(len(bounds), i + MAX_TOKENS + 1)):
-                if text[bounds[j] - 1].isalnum():
-                    for kind in range(len(KINDS)):
-                        if f := _features(text, bounds[i], bounds[j], kind):
-                            region.candidates.append((i, j, kind, f))
+            while at < len(signs) and signs[at][0] < a:
+                at += 1
+            while near < len(ends) and ends[near] <= i:
+                near += 1
+            sign = signs[at][1] if at < len(signs) else len(text) + 1
+            for j in ends[near : near + MAX_TOKENS]:
+                b, n = bounds[j], digits[j] - digits[i]
+                if j > i + MAX_TOKENS or n > 19 and sign > bounds[min(i + MAX_TOKENS, len(bounds) - 1)]:
+                    break
+                if sign <= b:
+                    region.candidates += [(i, j, kind, x) for kind, x in of(text, a, b, None)]
+                elif MIN_DIGITS - 3 <= n <= 19 and letters[j] == letters[i]:
+                    region.candidates += [(i, j, kind, x) for kind, x in of(text, a, b, plain[a - s : b - s])]
         if region.candidates:
             yield region
 
@@ -149,33 +196,47 @@ class SemiMarkovCRF:
 
     def __init__(self, weights: dict[str, float] | None = None) -> None:
         self.weights = weights or {}
+        self._forms: dict[str, list[tuple[int, float]]] = {}
+        #: By kind, the most that features beyond the form can add.
+        groups: dict[tuple[int, str], float] = defaultdict(float)
+        for name, w in self.weights.items():
+            kind, _, rest = name.partition(":")
+            group = rest.partition("=")[0]
+            if group not in ("shape", "n", "groups", "seps", "plus", "paren"):
+                groups[KINDS.index(kind), group] = max(groups[KINDS.index(kind), group], w)
+        self._more = [sum(w for (k, _), w in groups.items() if k == kind) for kind in range(len(KINDS))]
 
     def _scored(self, region: Region) -> list[tuple[int, int, int, list[str], float]]:
         w = self.weights.get
         return [(i, j, k, f, sum(w(x, 0.0) for x in f)) for i, j, k, f in region.candidates]
 
-    def best(self, region: Region, blocked: list[tuple[int, int]] = ()) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities as (start, kind, end), where blocked ranges of the text stay outside of it."""
-        b, n = region.bounds, len(region.bounds) - 1
-        ending = defaultdict(list)
-        for i, j, k, _, s in self._scored(region):
-            if s > 0 and not any(b[i] < e and a < b[j] for a, e in blocked):
-                ending[j].append((s, i, k))
-        score, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            score[j] = score[j - 1]
-            for s, i, k in ending[j]:
-                if score[i] + s > score[j]:
-                    score[j], back[j] = score[i] + s, (i, k)
-        out, j = [], n
-        while j > 0:
-            if back[j]:
-                i, k = back[j]
-                out.append((b[i], k, b[j]))
-                j = i
-            else:
-                j -= 1
-        return out[::-1]
+    def scores(self, text: str, start: int, end: int, plain: str | None) -> list[tuple[int, float]]:
+        """(kind, score) of a span for the kinds that score above 0; only those that still can are looked at closely."""
+        w = self.weights.get
+        if plain is None:
+            able = [(k, 0.0) for k, _ in _kinds(text, start, end, None)]
+        else:
+            able = self._forms.get(plain)
+            if able is None:
+                if len(self._forms) >= 1 << 16:
+                    self._forms.clear()
+                able = self._forms[plain] = [(k, x) for k, form in _shape(plain) if (x := sum(w(f, 0.0) for f in form)) + self._more[k] > 0]
+        out = [(k, x + sum(w(f, 0.0) for f in _particular(text, start, end, k))) for k, x in able]
+        return [(k, x) for k, x in out if x > 0]
+
+    def find(self, text: str, blocked: list[tuple[int, int]] = ()) -> list[tuple[int, int, int]]:
+        """The entities (start, kind, end) of a whole text, outside of the blocked ranges, which are sorted and disjoint or nested."""
+        reach = list(accumulate((e for _, e in blocked), max))
+        starts = [s for s, _ in blocked]
+
+        def free(start: int, end: int) -> bool:
+            before = bisect_left(starts, end)  # ranges that begin before the span's end
+            return not before or reach[before - 1] <= start
+
+        def of(text: str, start: int, end: int, plain: str | None) -> list[tuple[int, float]]:
+            return self.scores(text, start, end, plain) if free(start, end) else []
+
+        return [x for region in regions(text, of) for x in best(region.bounds, region.candidates)]
 
     def fit(self, examples: list[tuple[Region, set[tuple[int, int, int]]]], epochs: int = 8, rate: float = 0.4, decay: float = 1e-3) -> SemiMarkovCRF:
         """Gradient steps on the conditional likelihood of the gold entities (start, kind, end), forward and backward in log space."""
@@ -200,10 +261,32 @@ class SemiMarkovCRF:
                     if abs(g) > 1e-3:
                         for x in f:
                             w[x] += step * (g - decay * w[x])
-        self.weights = {x: round(v, 4) for x, v in w.items() if abs(v) > 1e-3}
+        self.__init__({x: round(v, 4) for x, v in w.items() if abs(v) > 1e-3})
         return self
 
 
+def best(bounds: list[int], scored: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """The entities (start, kind, end) of the segmentation of largest score."""
+    n, ending = len(bounds) - 1, defaultdict(list)
+    for i, j, k, s in scored:
+        ending[j].append((s, i, k))
+    score, back = [0.0] * (n + 1), [None] * (n + 1)
+    for j in range(1, n + 1):
+        score[j] = score[j - 1]
+        for s, i, k in ending.get(j, ()):
+            if score[i] + s > score[j]:
+                score[j], back[j] = score[i] + s, (i, k)
+    out, j = [], n
+    while j > 0:
+        if back[j]:
+            i, k = back[j]
+            out.append((bounds[i], k, bounds[j]))
+            j = i
+        else:
+            j -= 1
+    return out[::-1]
+
+
 def _logsum(x: list[float]) -> float:
     top = max(x)
     return top + math.log(sum(math.exp(v - top) for v in x))
@@ -227,7 +310,7 @@ def rewritten(text: str, span: tuple[int, int, int]) -> list[tuple[str, int, int
 
 
 def examples_of(texts: list[str], limit: int) -> list[tuple[Region, set[tuple[int, int, int]]]]:
-    """At most ``limit`` training regions, with and without entities, in the texts' order."""
+    """The training regions of the texts in their order, with and without entities, until there are ``limit``."""
     out = []
     for text in texts:
         gold = set(base_spans(text))
@@ -237,38 +320,33 @@ def examples_of(texts: list[str], limit: int) -> list[tuple[Region, set[tuple[in
                 out += [(r, {(s, k, e)}) for r in regions(copy) if r.bounds[0] <= s and e <= r.bounds[-1]]
         for m in re.finditer(r"[0-9]{7,}", text):  # plain runs of digits that are nothing
             if not any(s <= m.start() < e for s, _, e in gold):
-                out += [(r, gold) for r in regions(text[max(0, m.start() - 30) : m.end() + 30])][:1]
+                out += [(r, set()) for r in regions(text[max(0, m.start() - 30) : m.end() + 30])]
         if len(out) >= limit:
             return out[:limit]
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = 1500, sample_chars: int = 4000, limit: int = 1500) -> SemiMarkovCRF:
-    """Fit on a bounded sample: of the documents whose first ``sample_chars`` characters hold a base-like sign, those
-    ``sample_docs`` with the smallest hash of doc_id, and of those at most ``limit`` regions. No labels are used."""
-    rows = docs.select("doc_id", F.substring(text_column(), 1, sample_chars).alias("text")).where("doc_id IS NOT NULL")
-    picked = rows.where(F.col("text").rlike(r"[0-9][0-9 ().-]{6}|@")).select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_docs)
-    got = rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows = sorted(got, key=lambda r: r["doc_id"])
-    return SemiMarkovCRF().fit(examples_of([r["text"] for r in rows], limit))
+def train(docs: DataFrame, sample_docs: int = 800, limit: int = 1500) -> SemiMarkovCRF:
+    """Fit on a bounded sample: of the documents that hold a base-like sign anywhere, the ``sample_docs`` with the smallest hash of
+    doc_id, whole texts in the order of that hash, and of those regions at most ``limit``. No labels are used."""
+    rows = docs.select("doc_id", text_column().alias("text")).where("doc_id IS NOT NULL")
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    picked = rows.where(F.col("text").rlike(r"[0-9][0-9 ().-]{6}|@")).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample_docs)
+    got = sampled_texts(docs, picked).withColumn("place", order).collect()
+    return SemiMarkovCRF().fit(examples_of([r["text"] for r in sorted(got, key=lambda r: (r["place"], r["doc_id"]))], limit))
 
 
 def spans_of(text: str, model: SemiMarkovCRF) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: the base ones and what the field finds outside of them."""
     base = base_spans(text)
-    more = []
-    fixed = [(s, e) for s, _, e in base]
-    for region in regions(text):
-        lo, hi = region.bounds[0], region.bounds[-1]
-        more += model.best(region, [(s, e) for s, e in fixed if s < hi and lo < e])
-    return base, sorted(base + more)
+    return base, sorted(base + model.find(text, sorted((s, e) for s, _, e in base)))
 
 
 def find(docs: DataFrame, model: SemiMarkovCRF) -> DataFrame:
     """doc_id, base and spans of every whole text, each an array<struct<kind, start, end>> in code points, end exclusive.
 
     base holds the base patterns' matches; spans holds them and the field's. Null texts are empty; repeated rows stay;
-    an empty table gives an empty one. A map over Arrow batches: nothing is shuffled; the model's few hundred weights
+    other columns aren't read, whatever their names; an empty table gives an empty one; the time of a text is linear in its length. A map over Arrow batches: nothing is shuffled; the model's few hundred weights
     travel with the task.
     """
     prepare(docs.sparkSession)

@@ -194,9 +194,9 @@ def fit(rows: list[tuple[str, int]], passes: int = 3) -> Model:
     return Model(crf, Logistic.fit(numbers, np.array(good, float)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 800, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model:
     """Fit on at most ``per_class`` labelled rows a class, by the smallest hash of doc_id, held-out rows left out."""
-    return fit(training_rows(docs, labels, "quality", per_class, max_chars))
+    return fit(training_rows(docs, labels, "quality", per_class))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -125,8 +125,9 @@ def update(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES +
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """The columns of ``docs`` but text, with blob and findings: those of :func:`update`, joined back to every path.
 
-    Repeated rows stay; a text without findings has an empty list. The join is on the blob; Spark's skew join splits a
-    hot one.
+    Repeated rows stay; a null text counts as an empty one; a text without findings has an empty list, however long it is;
+    columns blob and findings of ``docs`` are replaced; an empty table gives an empty one. The join is on the blob; Spark's skew
+    join splits a hot one.
     """
     found = update(docs, ledger, rules)
     paths = docs.withColumn("blob", blob_of(F.col("text"))).drop("text", "findings")

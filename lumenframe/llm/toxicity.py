@@ -297,9 +297,9 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
     return Model(x, Logistic.fit(features, toxic.astype(float)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
     """Fit on at most ``per_class`` labelled rows a class, by the smallest hash of doc_id, held-out rows left out."""
-    return fit(training_rows(docs, labels, "toxic", per_class, max_chars))
+    return fit(training_rows(docs, labels, "toxic", per_class))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
