@@ -97,6 +97,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: (r[id_col], r["text"]))]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """_row: all columns of a row in one, so that no name of theirs clashes with what an operator adds; ``_row.*`` unpacks them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def annotated(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str]], list[pa.Array]]], fields: dict[str, str]) -> DataFrame:
     """All columns of ``df`` and one for each of ``fields`` (name: Spark type), worked out from the texts of an Arrow batch.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotated, normal_words, shared_folder, stored, text_column
+from .common import annotated, normal_words, packed, shared_folder, stored, text_column
 
 #: Words of a window.
 WINDOW = 13
@@ -85,7 +85,7 @@ def _searcher_of(key: int, shared, size: int) -> WuManber:
     return _searchers[key]
 
 
-def _with_hits(docs: DataFrame, shared, size: int, b: int) -> DataFrame:
+def _with_hits(docs: DataFrame, shared, size: int, b: int, text_col: str) -> DataFrame:
     key = shared._jbroadcast.id()
 
     def start():
@@ -109,10 +109,10 @@ def _with_hits(docs: DataFrame, shared, size: int, b: int) -> DataFrame:
 
         return work
 
-    return annotated(docs, "text", start, {"n_words": "long", f"_hits_{b}": "array<array<bigint>>", f"_items_{b}": "array<string>"})
+    return annotated(docs, text_col, start, {"n_words": "long", f"_hits_{b}": "array<array<bigint>>", f"_items_{b}": "array<string>"})
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20, blocks_at_once: int = 2) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = 32 << 20, blocks_at_once: int = 2, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with n_words, hits (disjoint word ranges [start, end) that occurrences cover, ascending) and
     items (ids of the items with an occurring window, as text, sorted).
 
@@ -137,7 +137,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_c
             held = []
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         held.append(spark.sparkContext.broadcast([(r["item"], normal_words(r["text"])) for r in own.toLocalIterator()]))
-        out = _with_hits(out, held[-1], size, b)
+        out = _with_hits(out, held[-1], size, b, text_col)
     if blocks == 1:
         hits, found = F.col("_hits_0"), F.col("_items_0")
     else:
@@ -152,10 +152,13 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns."""
-    found = with_hits(docs.withColumns({f"_own_{c}": F.col(c) for c in docs.columns if c in ("n_words", "hits", "items")}), benchmark, size)
-    kept = found.where(~contaminated(F.col("n_words"), n_hit(F.col("hits"))))
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in found.columns else F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that aren't contaminated, with their columns, whatever these are called.
+
+    Each row is judged by its own whole text: null and empty ones have no words and stay, repeated rows stay or go together,
+    and an empty table gives an empty one; without items every row stays.
+    """
+    found = with_hits(packed(docs), benchmark, size, text_col="_row.text")
+    return found.where(~contaminated(F.col("n_words"), n_hit(F.col("hits")))).select("_row.*")
 
 
 def _union(column: str) -> Column:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, mixed, normal_words, prepare, shared_folder, shuffle_parts, stored, text_column
+from .common import SpanHasher, mixed, normal_words, packed, prepare, shared_folder, shuffle_parts, stored, text_column
 from .components import components
 
 #: Words of a shingle, and the Jaccard similarity from which two texts are linked.
@@ -352,11 +352,12 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESH
 
     The row of the smallest doc_id stays, null ids last; then that of the smallest hash of the text. Classes are told apart by
     their texts, so different texts under one doc_id, or under none, each keep a row. Rows of equal doc_id and text are one
-    document, of which the smallest hash of the row stays; so are those of a text without words.
+    document, of which the smallest hash of the row stays; so are those of a text without words. Columns may have any name; an empty table
+    gives an empty one; very long texts are one more set of shingles.
     """
     signed, full = _linked(docs, size, threshold, trees, recall, label)
     kept = full.groupBy("component").agg(F.min("kept").alias("_place")).select("_place").union(signed.where("node IS NULL").select(_place().alias("_place")).distinct())
-    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _place(F.xxhash64(text_column())).alias("_place"))
-    rows = placed.join(kept, "_place", "left_semi")
-    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    return rows.groupBy("_place").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text").isNull(), hashed)).alias("_row")).select("_row.*")
+    own = packed(docs).withColumn("_place", F.struct(F.col("_row.doc_id").isNull().alias("none"), F.col("_row.doc_id").alias("doc_id"), F.xxhash64(text_column("_row.text")).alias("th")))
+    hashed = F.xxhash64(*[F.col(f"_row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = own.join(kept, "_place", "left_semi")
+    return rows.groupBy("_place").agg(F.min_by("_row", F.struct(F.col("_row.text").isNull(), hashed)).alias("_row")).select("_row.*")

@@ -203,7 +203,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` with score (0 to 1, higher for better texts) and lines array<double> (each line's chance of
     being bad) of every whole text.
 
-    A null or empty text is one empty line; repeated rows stay; an empty table gives an empty one. A map over Arrow
+    A null or empty text is one empty line; repeated rows stay; columns score and lines of ``docs`` are replaced; an empty table
+    gives an empty one; the time of a text is linear in its length. A map over Arrow
     batches: nothing is shuffled; the model is a few hundred weights.
     """
 

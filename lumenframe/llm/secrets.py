@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, text_column
+from .common import packed, prepare, text_column
 
 
 @dataclass(frozen=True)
@@ -140,19 +140,22 @@ def _nothing() -> Column:
 
 def redacted(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "<secret>") -> DataFrame:
     """The rows and columns of ``docs``, each finding in a text replaced by ``mark``, findings that overlap by one; n_chars,
-    where there is such a column, follows the new text. Texts without findings, null ones among them, stay as they are."""
-    names = docs.columns
-    found = update(docs, ledger, rules).withColumnRenamed("blob", "_blob").withColumnRenamed("findings", "_findings")
-    both = docs.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left")
+    where there is such a column, follows the new text. Texts without findings, null and empty ones among them, stay as they are, and
+    so do all other columns, whatever their names; repeated rows stay; an empty table gives an empty one."""
+    found = update(docs, ledger, rules)
+    both = packed(docs).withColumn("blob", blob_of(F.col("_row.text"))).join(found, "blob", "left")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, s, mark) for t, s in zip(text, spans)], dtype=object)
 
-    out = both.withColumn("text", F.when(F.col("_findings").isNull(), F.col("text")).otherwise(cut("text", F.transform("_findings", lambda x: F.array(x["start"], x["end"])))))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_findings").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    none, own = F.col("findings").isNull(), F.col("_row.text")
+    text = F.when(none, own).otherwise(cut(own, F.transform("findings", lambda x: F.array(x["start"], x["end"]))))
+    out = both.select("_row", "findings", text.alias("_text"))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(none, F.col("_row.n_chars")).otherwise(F.char_length("_text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _cut(text: str | None, spans, mark: str) -> str | None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, annotated, mixed, normal_words, training_rows
+from .common import SpanHasher, annotated, mixed, normal_words, packed, training_rows
 from .logistic import Logistic
 
 #: Letters of a stem, and words that share one at least.
@@ -302,11 +302,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
     return fit(training_rows(docs, labels, "toxic", per_class))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with score and matches array<struct<word, term, edits, quoted>> of every whole text.
 
     Null and empty texts have no matches and score as such; repeated rows stay; an empty table gives an empty one; without
-    training rows of both classes every text scores the share of the one class there is, or 0.5. A map over Arrow
+    training rows of both classes every text scores the share of the one class there is, or 0.5; columns score and matches of
+    ``docs`` are replaced; the time of a text is linear in its length. A map over Arrow
     batches: nothing is shuffled; the model is a few hundred terms.
     """
     arrow = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
@@ -323,7 +324,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return work
 
-    return annotated(docs, "text", start, {"score": "double", "matches": "array<struct<word:string,term:string,edits:int,quoted:boolean>>"})
+    return annotated(docs, text_col, start, {"score": "double", "matches": "array<struct<word:string,term:string,edits:int,quoted:boolean>>"})
 
 
 #: Score from which a document is toxic.
@@ -331,7 +332,9 @@ REJECT = 0.7
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score less than ``REJECT``, with their columns."""
-    found = score(docs.withColumns({f"_own_{c}": F.col(c) for c in docs.columns if c in ("score", "matches")}), model)
-    kept = found.where(F.col("score") < REJECT)
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if f"_own_{c}" in found.columns else F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that score less than ``REJECT``, with their columns, whatever these are called.
+
+    Each row is judged by its own whole text: null and empty ones stay, repeated rows stay or go together, and an empty table
+    gives an empty one.
+    """
+    return score(packed(docs), model, "_row.text").where(F.col("score") < REJECT).select("_row.*")
