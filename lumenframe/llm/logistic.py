@@ -14,11 +14,12 @@ class Logistic:
     weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> Logistic:
-        """``ridge`` holds all weights but the constant. Rows of one class alone give their share of the class, no rows 0.5."""
+    def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40, empty: float = 0.5) -> Logistic:
+        """``ridge`` holds all weights but the constant. Rows of one class alone give their share of the class, no rows ``empty``;
+        such a share is kept between 0.01 and 0.99."""
         width = x.shape[1]
         if len(y) == 0 or y.min() == y.max():
-            share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
+            share = np.clip(y.mean() if len(y) else empty, 0.01, 0.99)
             return Logistic(np.zeros(width), np.ones(width), np.concatenate([np.zeros(width), [np.log(share / (1 - share))]]))
         mean, scale = x.mean(axis=0), x.std(axis=0)
         scale = np.where(scale > 1e-9, scale, 1.0)

@@ -2,8 +2,8 @@
 
 Terms and stems are learned from labelled rows. The words of a text run through the product of the trie with the
 Levenshtein automaton of each term, determinised as far as words reach into it; it accepts terms with a few misspelled
-letters and words that begin with a stem. The window around a match tells quotation from abuse, and a
-logistic model turns the matches of a document into a score.
+letters and words that begin with a stem. The window on both sides of a match is scored for quotation against abuse, and a
+logistic model turns the matches of a document, weighted by those scores, into one.
 """
 
 from __future__ import annotations
@@ -27,10 +27,16 @@ STEM_LENGTHS, STEM_WORDS = range(4, 9), 3
 WINDOW = 6
 #: Words that introduce what someone else said, and that speak about a word.
 REPORTED = frozenset("said says wrote quoted quote quotes called term word phrase sagte schrieb zitat wort dit disait mot citation dijo palabra cita".split())
-_OPENING, _CLOSING = "\"“„«»‚‘'", "\"”“»«’'"
+DIRECTED = frozenset("you your yours youre u du dich dir dein deine ihr euch tu te toi ton ta vous votre eres tus usted ustedes vosotros".split())
+#: Quotation marks beyond ASCII, which would else count as letters, and the plain ones for which they stand.
+_MARKS = re.compile("[“”„«»‚‘’]")
+_PLAIN_MARKS = {ord(c): "'" if c in "‚‘’" else '"' for c in "“”„«»‚‘’"}
+#: Features of a window, and ways in which a quotation is put.
+WINDOW_FEATURES = 6
+_QUOTED = ('he wrote "{}" to me', "she said “{}” and left", 'the word "{}" is', "they called it «{}» yesterday", "quote: '{}' end", '"{}" was the term', "er sagte „{}“ dann", "il a dit «{}» hier", "{} is what he said", 'dijo "{}" ayer')
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Features of a document.
-FEATURES = 5
+FEATURES = 4
 #: Distinct words kept per worker before the cache starts anew; only speed depends on it.
 CACHE_WORDS = 400_000
 
@@ -40,6 +46,10 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def stem_edits(stem: str) -> int:
+    return 0 if len(stem) < 7 else 1
+
+
 class LexiconAutomaton:
     """State: the trie nodes that can be reached, each with its fewest edits. Transitions are worked out when first needed."""
 
@@ -49,9 +59,12 @@ class LexiconAutomaton:
         for i, t in enumerate(terms):
             self._add(t, edits(t), self.term, i)
         for i, t in enumerate(stems):
-            self._add(t, 0, self.stem, i)
+            self._add(t, stem_edits(t), self.stem, i)
         self.moves: list[dict[str, int]] = []
+        self.limit_of_term, self.limit_of_stem = [edits(t) for t in terms], [stem_edits(t) for t in stems]
+        #: (edits, place, is a stem) of the term that a word which ends in the state matches, and of the stem that it has begun with.
         self.accepts: list[tuple[int, int, bool] | None] = []
+        self.begun: list[tuple[int, int, bool] | None] = []
         self._listed: list[tuple] = []
         self._ids: dict[tuple, int] = {}
         self._state(self._closed({0: 0}))
@@ -89,15 +102,10 @@ class LexiconAutomaton:
             self._ids[nodes] = len(self.moves)
             self.moves.append({})
             self._listed.append(nodes)
-            best = None
-            for node, e in nodes:
-                if e == 0 and self.stem[node] >= 0:
-                    best = (self.stem[node], 0, True)
-                    break
-                t = self.term[node]
-                if t >= 0 and (best is None or e < best[1]):
-                    best = (t, e, False)
-            self.accepts.append(best)
+            ends = [(e, self.term[node], False) for node, e in nodes if self.term[node] >= 0 and e <= self.limit_of_term[self.term[node]]]
+            begun = [(e, self.stem[node], True) for node, e in nodes if self.stem[node] >= 0 and e <= self.limit_of_stem[self.stem[node]]]
+            self.accepts.append(min(ends, default=None))
+            self.begun.append(min(begun, default=None))
         return self._ids[nodes]
 
     def _move(self, state: int, c: str) -> int:
@@ -115,19 +123,24 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[int, int, bool] | None:
-        """(place of the term or stem, edits, is a stem), or None."""
-        state = 0
-        moves, accepts = self.moves, self.accepts
+        """(place of the term or stem, edits, is a stem) of the match with the fewest edits, or None."""
+        state, best = 0, None
+        moves, begun = self.moves, self.begun
         for c in word:
             to = moves[state].get(c)
             if to is None:
                 to = self._move(state, c)
             if to < 0:
-                return None
+                break
             state = to
-            if accepts[state] and accepts[state][2]:
-                return accepts[state]
-        return accepts[state]
+            if (hit := begun[state]) and (best is None or hit < best):
+                best = hit
+                if not best[0]:
+                    break
+        else:
+            if (hit := self.accepts[state]) and (best is None or hit[0] <= best[0]):
+                best = hit
+        return best and (best[1], best[0], best[2])
 
 
 @dataclass
@@ -137,6 +150,7 @@ class Lexicon:
     exact: list[float] = field(default_factory=list)
     fuzzy: list[float] = field(default_factory=list)
     stem: list[float] = field(default_factory=list)
+    near_stem: list[float] = field(default_factory=list)
 
 
 def _odds(toxic: float, clean: float, n_toxic: int, n_clean: int, a: float = 0.5) -> float:
@@ -197,8 +211,8 @@ def distinct_rows(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 class Matcher:
     """Matches of a text and its features."""
 
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.automaton = lexicon, LexiconAutomaton(lexicon.terms, lexicon.stems)
+    def __init__(self, lexicon: Lexicon, window: Logistic | None = None) -> None:
+        self.lexicon, self.automaton, self.window = lexicon, LexiconAutomaton(lexicon.terms, lexicon.stems), window
         self.known: set[bytes] = set()
         self.hits: dict[bytes, tuple[int, int, bool]] = {}
 
@@ -217,47 +231,87 @@ class Matcher:
         self.learn([word])
         return self.hits.get(word)
 
-    def matches(self, text: str) -> tuple[list[tuple[str, tuple[int, int, bool], bool]], int]:
-        """(word, match, is quoted) of each match, and the number of words."""
+    def matches(self, text: str) -> tuple[list[tuple[str, tuple[int, int, bool], float]], int]:
+        """(word, match, chance that it is quoted) of each match, and the number of words."""
+        text = folded(text)
         words = normal_words(text).split()
         if not self.learn(words):
             return [], len(words)
         out = []
         for i, (m, word) in enumerate(zip(_WORD.finditer(text), words)):
             if hit := self.hits.get(word):
-                around = {w.decode("utf-8", "replace") for w in words[max(0, i - WINDOW) : i]}
-                out.append((word.decode("utf-8", "replace"), hit, self._quoted(text, m.start(), m.end()) or bool(around & REPORTED)))
-        return out, len(words)
-
-    @staticmethod
-    def _quoted(text: str, start: int, end: int) -> bool:
-        left, right = text[max(0, start - 60) : start].rpartition("\n")[2], text[end : end + 60].partition("\n")[0]
-        for opening, closing in zip(_OPENING[:-1], _CLOSING[:-1]):
-            if (left.count('"') % 2 == 1 and '"' in right) if opening == '"' else (left.rfind(opening) > left.rfind(closing) and closing in right):
-                return True
-        return left.endswith("'") and right.startswith("'")
+                out.append((word.decode("utf-8", "replace"), hit, window_features(text, m.start(), m.end(), words, i)))
+        chances = self.window.of(np.array([f for _, _, f in out])) if self.window and out else np.zeros(len(out))
+        return [(word, hit, float(q)) for (word, hit, _), q in zip(out, chances)], len(words)
 
     def weight(self, hit: tuple[int, int, bool]) -> float:
         i, e, stem = hit
         x = self.lexicon
-        return x.stem[i] if stem else x.exact[i] if e == 0 else x.fuzzy[i]
+        return (x.near_stem if e else x.stem)[i] if stem else (x.fuzzy if e else x.exact)[i]
 
     def features(self, found: list, n: int) -> list[float]:
-        """Of matches among n words: largest and summed weight of those that aren't quoted, largest of exact ones, of quoted ones, density."""
-        free = [max(0.0, self.weight(h)) for _, h, q in found if not q]
-        kept = [max(0.0, self.weight(h)) for _, h, q in found if q]
-        exact = [max(0.0, self.weight(h)) for _, h, q in found if not q and h[1] == 0]
-        return [max(free, default=0.0), math.log1p(sum(free)), max(exact, default=0.0), max(kept, default=0.0), math.log1p(100 * sum(free) / (n + 5))]
+        """Of matches among n words, each weighted by the chance that it isn't quoted: largest and summed weight, largest of exact
+        ones, density."""
+        free = [max(0.0, self.weight(h)) * (1 - q) for _, h, q in found]
+        exact = [max(0.0, self.weight(h)) * (1 - q) for _, h, q in found if h[1] == 0]
+        return [max(free, default=0.0), math.log1p(sum(free)), max(exact, default=0.0), math.log1p(100 * sum(free) / (n + 5))]
+
+
+def folded(text: str) -> str:
+    """With plain quotation marks, so that a quoted word is the word."""
+    return text.translate(_PLAIN_MARKS) if _MARKS.search(text) else text
+
+
+def enclosed(text: str, start: int, end: int) -> bool:
+    """Whether quotation marks on the line, within 60 characters on either side, enclose the range."""
+    left, right = text[max(0, start - 60) : start].rpartition("\n")[2], text[end : end + 60].partition("\n")[0]
+    return (left.count('"') % 2 == 1 and '"' in right) or (left.endswith("'") and right.startswith("'"))
+
+
+def window_features(text: str, start: int, end: int, words: list[bytes], i: int) -> list[float]:
+    """Of a match, the ``i``-th word: quotation marks around it, nearness of reporting words before and after it, nearness of
+    words that address someone before and after it, an exclamation after it."""
+
+    def nearness(listed: frozenset[str], side: list[bytes]) -> float:
+        return max((1 / (1 + d) for d, w in enumerate(side) if w.decode("utf-8", "replace") in listed), default=0.0)
+
+    left, right = words[max(0, i - WINDOW) : i][::-1], words[i + 1 : i + 1 + WINDOW]
+    return [float(enclosed(text, start, end)), nearness(REPORTED, left), nearness(REPORTED, right), nearness(DIRECTED, left), nearness(DIRECTED, right), float(text[end : end + 1] == "!")]
+
+
+def fit_window(rows: list[tuple[str, int]], matcher: Matcher) -> Logistic:
+    """The chance that a match is quoted, by its window: windows of matches in toxic rows are abuse, and the same ones with the
+    match put as a quotation, in each of a few ways, are quotation."""
+    x, y = [], []
+    for text, toxic in rows:
+        text = folded(text)
+        words = normal_words(text).split()
+        if toxic != 1 or not matcher.learn(words):
+            continue
+        found = [(m.start(), m.end(), i) for i, (m, w) in enumerate(zip(_WORD.finditer(text), words)) if w in matcher.hits]
+        for n, (start, end, i) in enumerate(found[:20]):
+            x.append(window_features(text, start, end, words, i))
+            y.append(0.0)
+            put = folded(_QUOTED[(len(y) // 2 + n) % len(_QUOTED)])
+            copy = text[max(0, start - 40) : start] + put.format(text[start:end]) + text[end : end + 40]
+            at = min(40, start) + put.index("{")
+            own = [(m.start(), m.end()) for m in _WORD.finditer(copy)]
+            place = next((j for j, (a, b) in enumerate(own) if a <= at < b), None)
+            if place is not None:
+                x.append(window_features(copy, *own[place], normal_words(copy).split(), place))
+                y.append(1.0)
+    return Logistic.fit(np.array(x).reshape(len(x), WINDOW_FEATURES), np.array(y), empty=0.0)
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
+    window: Logistic
     logistic: Logistic
 
 
 def bag(text: str) -> set[str]:
-    return {w.decode("utf-8", "replace") for w in set(normal_words(text).split())}
+    return {w.decode("utf-8", "replace") for w in set(normal_words(folded(text)).split())}
 
 
 def misspelled(text: str, matcher: Matcher, rng: np.random.Generator) -> str | None:
@@ -278,23 +332,25 @@ def misspelled(text: str, matcher: Matcher, rng: np.random.Generator) -> str | N
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 3) -> Model:
-    """Lexicon, its weights (the smoothed log odds of a row that holds a term, a misspelled one or a stem) and the logistic
-    model. Copies of toxic rows with misspelled terms are training rows too, so that misspelling counts as what it hides."""
+    """Lexicon, its weights (the smoothed log odds of a row that holds a term or stem, as it is or misspelled), the window's model
+    and the document's. Copies of toxic rows with misspelled terms are training rows too, so that misspelling counts as what it hides."""
     rows = distinct_rows(rows)
     x = learn_lexicon([bag(t) for t, _ in rows], np.array([y == 1 for _, y in rows], bool))
     matcher, rng = Matcher(x), np.random.default_rng(seed)
     rows = rows + [(t, 1) for text, y in rows if y == 1 and (t := misspelled(text, matcher, rng))]
     toxic = np.array([y == 1 for _, y in rows], bool)
-    counts = {kind: np.zeros((2, max(1, n))) for kind, n in (("exact", len(x.terms)), ("fuzzy", len(x.terms)), ("stem", len(x.stems)))}
+    matcher.window = fit_window(rows, matcher)
+    kinds = {"exact": len(x.terms), "fuzzy": len(x.terms), "stem": len(x.stems), "near_stem": len(x.stems)}
+    counts = {kind: np.zeros((2, max(1, n))) for kind, n in kinds.items()}
     found = [matcher.matches(t) for t, _ in rows]
     for (hits, _), y in zip(found, toxic):
-        for kind, i in {("stem" if h[2] else "exact" if h[1] == 0 else "fuzzy", h[0]) for _, h, _ in hits}:
+        for kind, i in {(("near_stem" if h[1] else "stem") if h[2] else ("fuzzy" if h[1] else "exact"), h[0]) for _, h, _ in hits}:
             counts[kind][int(y), i] += 1
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    for kind, n in (("exact", len(x.terms)), ("fuzzy", len(x.terms)), ("stem", len(x.stems))):
+    for kind, n in kinds.items():
         setattr(x, kind, [_odds(counts[kind][1, i], counts[kind][0, i], n_toxic, n_clean) for i in range(n)])
     features = np.array([matcher.features(*f) for f in found]).reshape(len(rows), FEATURES)
-    return Model(x, Logistic.fit(features, toxic.astype(float)))
+    return Model(x, matcher.window, Logistic.fit(features, toxic.astype(float)))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
@@ -303,17 +359,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with score and matches array<struct<word, term, edits, quoted>> of every whole text.
+    """The columns of ``docs`` with score and matches array<struct<word, term, edits, quoted>> of every whole text; quoted is
+    the chance that the match is a quotation.
 
     Null and empty texts have no matches and score as such; repeated rows stay; an empty table gives an empty one; without
     training rows of both classes every text scores the share of the one class there is, or 0.5; columns score and matches of
     ``docs`` are replaced; the time of a text is linear in its length. A map over Arrow
     batches: nothing is shuffled; the model is a few hundred terms.
     """
-    arrow = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
+    arrow = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.float64())]))
 
     def start():
-        matcher = Matcher(model.lexicon)
+        matcher = Matcher(model.lexicon, model.window)
         named = (model.lexicon.terms, model.lexicon.stems)
 
         def work(texts: list[str]) -> list[pa.Array]:
@@ -324,7 +381,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return work
 
-    return annotated(docs, text_col, start, {"score": "double", "matches": "array<struct<word:string,term:string,edits:int,quoted:boolean>>"})
+    return annotated(docs, text_col, start, {"score": "double", "matches": "array<struct<word:string,term:string,edits:int,quoted:double>>"})
 
 
 #: Score from which a document is toxic.

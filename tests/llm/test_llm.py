@@ -570,11 +570,19 @@ def test_quotation_lowers_the_score():
     rng = np.random.default_rng(6)
     filler = lambda: " ".join("".join(rng.choice(list("xyzuvw"), 6)) for _ in range(12))
     model = toxicity.fit([(f"{filler()} idiot {filler()}", 1) for _ in range(60)] + [(f"{filler()} {filler()}", 0) for _ in range(120)])
-    matcher = toxicity.Matcher(model.lexicon)
+    matcher = toxicity.Matcher(model.lexicon, model.window)
     scored = lambda t: model.logistic.of(np.array([matcher.features(*matcher.matches(t))]))[0]
     assert scored("what an idiot") > 0.7 > scored("a fine day")
     assert scored("what an idiiot") > 0.5
-    assert scored('he said "idiot" to me') < scored("what an idiot")
+    for quoted in ('he said "idiot" to me', "she called it «idiot» then", "the word “idiot” is old", "„idiot“ sagte er", '"idiot" was the term'):
+        assert scored(quoted) < 0.7 and [h[0] for h in matcher.matches(quoted)[0]] == ["idiot"], quoted
+    assert matcher.matches('you "idiot" you')[0][0][2] < matcher.matches('he wrote "idiot" then')[0][0][2]
+
+
+def test_stems_with_an_edit():
+    automaton = toxicity.LexiconAutomaton(["bomber"], ["bomentec", "lowei"])
+    assert automaton.match("bomentecxyz") == (0, 0, True) and automaton.match("bomxntecxyz") == (0, 1, True) and automaton.match("bomtecxyz") is None
+    assert automaton.match("lowxixyz") is None and automaton.match("loweixyz") == (1, 0, True) and automaton.match("bombr") == (0, 1, False)
 
 
 # The pipeline
