@@ -153,14 +153,14 @@ def fit_crf(chains: list[np.ndarray], labels: list[np.ndarray], rounds: int = 60
 
 
 def summary(p: np.ndarray, sizes: np.ndarray) -> list[float]:
-    """Length-weighted mean of the marginals, of their log odds and of clearly bad lines; the worst line's; lines; length."""
+    """Length-weighted means of the lines' marginals, of their log odds, and of whether they are clearly bad."""
     share = sizes / sizes.sum()
     odds = np.log((p + 1e-4) / (1 - p + 1e-4))
-    return [float(share @ p), float(share @ odds), float(share @ (p > 0.5)), float(p.max()), float(np.log1p(len(p))), float(np.log1p(sizes.sum()))]
+    return [float(share @ p), float(share @ odds), float(share @ (p > 0.5))]
 
 
 #: Numbers that sum up a document.
-SUMMARY = 6
+SUMMARY = 3
 
 
 @dataclass

@@ -18,18 +18,21 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, by :func:`quality.score`; a null or empty text is one empty line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the shards that :func:`tokenbin.write_tokens` wrote; a null text has the end id alone."""
     folder = shared_folder(spark, "tokens")
     tokenbin.write_tokens(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"), end_id=2)
     return tokenbin.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("payload").alias("ids_crc32"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, base counts and digest, and all spans of every document, by :func:`pii.find`; a null text has none."""
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.train(docs))
     return found.select(
@@ -41,12 +44,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, by :func:`toxicity.score`; a null or empty text has no matches."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, base counts and digest, and all spans of every document, by :func:`secrets.scan` over a new ledger; a null text has none."""
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "ledger"))
     names = [r.name for r in secrets.BASE_RULES]
     base = F.filter("findings", lambda x: x["rule"].isin(names))
@@ -59,14 +64,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of every document, by :func:`ngramjoin.join`; a text without words is a class of its own."""
     return ngramjoin.join(table(spark, sf_dir, "documents"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page, by :func:`htmltext.extract`; null or empty html gives an empty text."""
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, items and verdict of every document, by :func:`decontam.find`; a null text has no words."""
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontam.n_hit(F.col("hits"))
     return found.select(
@@ -80,6 +88,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of every document, by :func:`bpe.encode_decode`; a null text has no ids."""
     import public_tokenizers
 
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -92,6 +101,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every row whose vec_id 50 divides, by :func:`ann.search`; unusable vectors take no part."""
     return ann.search(table(spark, sf_dir, "embeddings"), query_every=50, k=5)
 
 
@@ -143,6 +153,8 @@ LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) t ON t.a = d.r
 """
 
 
+#: Each reads its whole tables. Repeated rows stay, empty tables give empty results, texts of any length are taken whole, and
+#: other columns aren't read; more on these cases stands with the operators.
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_token_binary, op3_pii, op4_toxicity, op5_secrets, op6_ngram_join, op7_html_text, op8_decontamination, op9_byte_bpe, op10_nearest)}
 
