@@ -13,27 +13,34 @@ from lumenframe.llm.common import shared_folder, stored, table
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go; labels of its training rows come from ``labels``."""
+    """Documents that the toxicity operator rejects go; labels of its training rows come from ``labels``.
+
+    Null and empty texts stay; repeated rows, and ties of ids, are judged each by its own text; columns may have any name.
+    """
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that the n-gram Jaccard join links, the document of the smallest doc_id stays."""
+    """Of each group that the n-gram Jaccard join links, one document stays: that of the smallest doc_id, null ids last, ties by
+    the smallest hash of the text. Repeated rows are one document; a text without words, null ones among them, is a group by itself
+    with the rows of its doc_id; columns may have any name."""
     return ngramjoin.deduplicated(docs)
 
 
 def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go. Null and empty texts stay; repeated rows stay or go together; columns may have any name."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text give way to a mark."""
+    """Every document stays, repeated rows and null texts among them; secrets in its text give way to a mark; columns may have
+    any name."""
     return secrets.redacted(docs, shared_folder(spark, "ledger"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether the ids decode to the text's bytes."""
+    """doc_id, n_tokens, ids, and the digest of the bytes to which the ids decode, of every document; a null text has no ids.
+    Repeated rows stay; other columns aren't read."""
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
@@ -52,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; an empty table gives an empty one."""
     folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
