@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
 
 Each distinct text gets a label per tree of the forest: a sequence of ``LABEL`` MinHash values of its word shingles. The labels of
-a tree, sorted, are its prefix trie; a pass over them links each text at its longest matched prefix. Matching starts with full
+a tree, sorted, are its prefix trie; a walk over them finds the longest prefix that each text shares with another. Matching starts with full
 labels. What they link is compared exactly; the similarities found tell what share of all links prefixes of that length
 reach, and prefixes are shortened until that share is the target recall. The floor is the length at which texts that are only
 just similar enough are met with the target recall. What is joined by candidate links is gathered in cells of bounded size.
@@ -89,35 +89,33 @@ class Forest:
 
 
 class TrieWalk:
-    """A walk over sorted labels. Each label is linked with the first one that shares its longest matched prefix, so that the links of
-    at least a given length join all labels that share a prefix of that length."""
+    """A walk over the sorted labels of a part, for the length of the longest prefix that each shares with a neighbour, which is the
+    longest that it shares with any. The first and the last label of a part count as matched throughout, as their other
+    neighbour lies in another part."""
 
     def __init__(self, floor: int, label: int) -> None:
-        self.floor, self.levels = floor, label - floor
-        self.last: tuple[int, int] | None = None
-        self.heads = np.zeros(self.levels + 1, np.int64)
-
-    def links(self, key: np.ndarray, rest: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node, earlier node, length of the prefix) for the labels that match one before them."""
+        self.floor, self.label = floor, label
+        self.held: tuple[np.ndarray, ...] | None = None
+        self.common = label
+
+    def matched(self, key: np.ndarray, rest: np.ndarray, node: np.ndarray, last: bool = False) -> tuple[np.ndarray, ...]:
+        """key, rest, node and length for the labels that match up to the floor at least; the last label given so far waits for its
+        next neighbour, or the end."""
+        if self.held is not None:
+            key, rest, node = (np.concatenate([h, x]) for h, x in zip(self.held, (key, rest, node)))
         n = len(key)
         if not n:
-            return node[:0], node[:0], node[:0]
-        before = (np.concatenate([[self.last[0] if self.last else 0], key[:-1]]), np.concatenate([[self.last[1] if self.last else 0], rest[:-1]]))
-        same = key == before[0]
-        same[0] &= self.last is not None
-        other = (rest ^ before[1]).astype(np.uint64)
-        common = np.zeros(n, np.int64)
-        for level in range(1, self.levels + 1):
-            common += (other >> np.uint64(LEVEL_BITS * (self.levels - level))) == 0
-        common = np.where(same, common, -1)
-        at, firsts = np.arange(n), []
-        for level in range(self.levels + 1):
-            begins = np.maximum.accumulate(np.where(common < level, at, -1))
-            firsts.append(np.where(begins < 0, self.heads[level], node[begins]))
-        self.last, self.heads = (int(key[-1]), int(rest[-1])), np.array([f[-1] for f in firsts])
-        matched = np.flatnonzero(same)
-        hub = np.array(firsts)[common[matched], matched]
-        return node[matched], hub, common[matched] + self.floor
+            return key, rest, node, key
+        other, levels = (rest[1:] ^ rest[:-1]).astype(np.uint64), self.label - self.floor
+        common = np.full(n - 1, self.floor)
+        for level in range(1, levels + 1):
+            common += (other >> np.uint64(LEVEL_BITS * (levels - level))) == 0
+        common = np.where(key[1:] == key[:-1], common, 0)
+        length = np.maximum(np.concatenate([[self.common], common]), np.concatenate([common, [self.label]]))
+        done = n if last else n - 1
+        self.held, self.common = (key[n - 1 :], rest[n - 1 :], node[n - 1 :]), int(common[-1]) if n > 1 else self.common
+        fine = np.flatnonzero(length[:done] >= self.floor)
+        return key[fine], rest[fine], node[fine], length[fine]
 
 
 _shared: dict[tuple, tuple[SpanHasher, Forest]] = {}
@@ -203,8 +201,8 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
 
     Copies are one class before anything is compared, by a 64-bit address of their words, and shingles are compared by 64-bit
     hashes: different words count as equal with a chance of n² / 2^65 among n texts, or shingles of two texts. Labels are
-    range-partitioned, so that however many texts share a prefix, no task walks over more than its part, and what runs on
-    from one part to the next is linked by the parts' first and last labels. What the links connect is split into blocks of
+    range-partitioned, so that however many texts share a prefix, no task walks over more than its part. Candidates form a star
+    around the smallest text of a prefix, never all pairs; what the links connect is split into blocks of
     about ``BLOCK_SHINGLES`` shingles, and each pair of blocks is a cell of its own; small components share cells, of which there
     are as many as their shingles need. Links leave a cell as counts and as the smallest linked class, a row per class. The time
     of a group of n different near copies still grows with n², by the comparisons that counting its links takes.
@@ -216,34 +214,29 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, tre
     )
 
 
-def prefix_links(classes: DataFrame, floor: int, label: int, folder: str) -> DataFrame:
-    """u, v, depth: each node of ``classes`` (node, labels) with the first one in label order that shares its longest matched
-    prefix in a tree, of ``depth`` values; texts that match nothing up to the floor have no row."""
+def matched_prefixes(classes: DataFrame, floor: int, label: int) -> DataFrame:
+    """key, rest, node, depth: the labels of ``classes`` (node, labels) that share a prefix of at least ``floor`` values with another
+    one of their tree, and the length of the longest such prefix."""
     pairs = F.transform(F.sequence(F.lit(0), F.size("labels") - 1, F.lit(2)), lambda i: F.struct(F.get("labels", i).alias("key"), F.get("labels", i + 1).alias("rest")))
-    forest = classes.where(F.size("labels") > 0).select("node", F.inline(pairs))
-    schema = "u long, v long, depth int, key long, rest long"
+    forest = classes.where(F.size("labels") > 0).select("node", F.inline(pairs)).select("key", "rest", "node")
+    names = ["key", "rest", "node", "depth"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, first, last = TrieWalk(floor, label), None, None
+        trie, none = TrieWalk(floor, label), np.zeros(0, np.int64)
         for batch in batches:
-            key, rest, node = (batch.column(i).to_numpy() for i in range(3))
-            if not len(key):
-                continue
-            first = first or (key[0], rest[0], node[0])
-            last = (key[-1], rest[-1], node[-1])
-            u, v, depth = tries.links(key, rest, node)
-            none = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(depth, pa.int32()), none, none], names=["u", "v", "depth", "key", "rest"])
-        if first:
-            key, rest, node = (pa.array([a, b], pa.int64()) for a, b in zip(first, last))
-            yield pa.RecordBatch.from_arrays([node, pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32()), key, rest], names=["u", "v", "depth", "key", "rest"])
-
-    in_order = forest.select("key", "rest", "node")
-    walked = stored(in_order.repartitionByRange(shuffle_parts(classes.sparkSession), "key", "rest", "node").sortWithinPartitions("key", "rest", "node").mapInArrow(walk, schema), f"{folder}/walked")
-    # two labels per part, in one task
-    ends = walked.where("key IS NOT NULL").select("key", "rest", F.col("u").alias("node")).repartition(1).sortWithinPartitions("key", "rest", "node").mapInArrow(walk, schema)
-    both = walked.unionByName(ends).where("key IS NULL AND u != v").select("u", "v", "depth")
-    return both.groupBy("u", "v").agg(F.max("depth").alias("depth"))
+            found = trie.matched(*(batch.column(i).to_numpy() for i in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in trie.matched(none, none, none, last=True)], names=names)
+
+    parts = shuffle_parts(classes.sparkSession)
+    return forest.repartitionByRange(parts, "key", "rest", "node").sortWithinPartitions("key", "rest", "node").mapInArrow(walk, "key long, rest long, node long, depth long")
+
+
+def prefix_links(matched: DataFrame, depth: int, label: int) -> DataFrame:
+    """u, v: each node with the smallest one that shares a prefix of ``depth`` values with it in some tree, never all pairs."""
+    near = matched.where(F.col("depth") >= depth).select("key", F.shiftrightunsigned("rest", LEVEL_BITS * (label - depth)).alias("rest"), "node")
+    stars = near.groupBy("key", "rest").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").drop("last")
+    return near.join(stars, ["key", "rest"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def _linked(docs: DataFrame, size: int, threshold: float, trees: int, recall: float, label: int) -> tuple[DataFrame, DataFrame]:
@@ -261,18 +254,18 @@ def _linked(docs: DataFrame, size: int, threshold: float, trees: int, recall: fl
         ),
         f"{folder}/classes",
     )
-    links = stored(prefix_links(classes, floor, label, folder), f"{folder}/links")
+    matched = stored(matched_prefixes(classes, floor, label), f"{folder}/matched")
     known = classes.select("node", "copies", "at", "n_shingles")
 
     depth = label
     while True:
         here = f"{folder}/{depth}"
-        near = stored(_verified(rows, known, components(links.where(F.col("depth") >= depth), f"{here}/candidates"), size, threshold, (trees, floor, label)), f"{here}/near")
+        near = stored(_verified(rows, known, components(prefix_links(matched, depth, label), f"{here}/candidates"), size, threshold, (trees, floor, label)), f"{here}/near")
         found = np.zeros(BINS + 1)
         for r in near.select(F.posexplode("found").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
             found[r["bin"]] = r["n"] / 2
         shorter = shortened(found, depth, floor, threshold, trees, recall)
-        if shorter == depth or links.where((F.col("depth") >= shorter) & (F.col("depth") < depth)).isEmpty():
+        if shorter == depth:
             break
         depth = shorter
 
