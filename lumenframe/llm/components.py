@@ -11,18 +11,30 @@ from .common import stored
 def components(edges: DataFrame, folder: str, rounds: int = 64) -> DataFrame:
     """node, component for the nodes of ``edges`` (u, v: long): the smallest node of each connected component.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so the number of rounds grows
-    with the logarithm of the longest path. Rounds are written to ``folder``; null ends and loops are left out; an empty
-    table gives an empty one. Nodes with many edges are aggregated before they are shuffled.
+    Each round moves every node to the first of itself and its neighbours and contracts the edges to where their ends have
+    moved, so that stars are gone after one round and what is left to join shrinks round by round. Rounds order nodes by
+    themselves and by a hash in turn: with the latter, long paths shrink by a constant share too. Rounds are written to
+    ``folder``; null ends and loops are left out; an empty table gives an empty one. Nodes with many edges are aggregated
+    before they are shuffled.
     """
-    fine = edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v")
-    both = stored(fine.select("u", "v").union(fine.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{folder}/edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("component")), f"{folder}/labels-0")
-    for i in range(1, rounds + 1):
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        lower = stored(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), f"{folder}/lower-{i}")
-        if lower.where("component != old").isEmpty():
-            return labels
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = stored(lower.join(jump, "component").select("node", F.col("root").alias("component")), f"{folder}/labels-{i}")
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    left = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/edges-0")
+    moves: list[DataFrame] = []
+    while len(moves) < rounds:
+        i = len(moves)
+        order = (lambda c: F.struct(F.col(c))) if i % 2 == 0 else (lambda c, i=i: F.struct(F.xxhash64(F.col(c), F.lit(i)), F.col(c)))
+        both = left.select(F.col("u").alias("node"), F.col("v").alias("next")).union(left.select(F.col("v"), F.col("u")))
+        first = both.groupBy("node").agg(F.min_by("next", order("next")).alias("next")).select("node", F.when(order("next") < order("node"), F.col("next")).otherwise(F.col("node")).alias("to"))
+        moves.append(stored(first, f"{folder}/moves-{i}"))
+        ends = left.join(moves[i].select(F.col("node").alias("u"), F.col("to").alias("a")), "u").select("a", "v").distinct()
+        moved = ends.join(moves[i].select(F.col("node").alias("v"), F.col("to").alias("b")), "v").where("a != b")
+        left = stored(moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/edges-{i + 1}")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
+    to = moves[-1]
+    for earlier in reversed(moves[:-1]):
+        later = to.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        to = earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    to = stored(to, f"{folder}/ends")
+    return to.join(to.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")

@@ -269,47 +269,33 @@ def test_forest_depth_reaches_its_recall():
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
-def test_trie_walk_joins_what_shares_a_prefix(parts):
-    """Links of at least a given length connect labels exactly as their common prefixes do, however batches and parts cut them."""
+def test_trie_walk_finds_the_longest_shared_prefix(parts):
+    """However batches and parts cut the sorted labels; the ends of a part count as matched throughout."""
     rng = np.random.default_rng(parts)
     floor, label = 2, 4
     levels = label - floor
-    key = rng.integers(0, 6, 200)
-    values = rng.integers(0, 3, (200, levels))
+    key, values = rng.integers(0, 90, 200), rng.integers(0, 3, (200, levels))
     rest = sum(values[:, i] << ngramjoin.LEVEL_BITS * (levels - 1 - i) for i in range(levels))
-    node = np.arange(200)
-    order = np.lexsort((node, rest, key))
-    key, rest, node, values = key[order], rest[order], node[order], values[order]
-    links, ends = [], []
-    for part in np.array_split(np.arange(200), parts):
+    order = np.lexsort((np.arange(200), rest, key))
+    key, rest, values, node = key[order], rest[order], values[order], np.arange(200)
+    got, ends = {}, set()
+    for part in np.array_split(node, parts):
         walk = ngramjoin.TrieWalk(floor, label)
         for batch in np.array_split(part, 4):
-            links += zip(*walk.links(key[batch], rest[batch], node[batch]))
-        ends += [part[0], part[-1]]
-    links += zip(*ngramjoin.TrieWalk(floor, label).links(key[ends], rest[ends], node[ends]))
-    for depth in range(floor, label + 1):
-        root = {int(n): int(n) for n in node}
-
-        def top(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for u, v, d in links:
-            if d >= depth:
-                root[max(top(int(u)), top(int(v)))] = min(top(int(u)), top(int(v)))
-        groups, expected = {}, {}
-        for i, n in enumerate(node):
-            groups.setdefault(top(int(n)), set()).add(int(n))
-            expected.setdefault((key[i], *values[i, : depth - floor]), set()).add(int(n))
-        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
-
-
-def test_hot_prefix_is_walked_in_parts(spark, tmp_path):
+            got.update({int(n): int(d) for _, _, n, d in zip(*walk.matched(key[batch], rest[batch], batch))})
+        none = np.zeros(0, np.int64)
+        got.update({int(n): int(d) for _, _, n, d in zip(*walk.matched(none, none, none, last=True))})
+        ends |= {int(part[0]), int(part[-1])}
+    for i in range(200):
+        shared = max((floor + (0 if a != c else 1 if b != d else 2) for (a, b), (c, d), k in ((values[i], values[j], key[j]) for j in range(200) if j != i) if k == key[i]), default=0)
+        assert got.get(i, 0) == (label if i in ends else shared), i
+
+
+def test_hot_prefix_is_one_star(spark):
     rows = [(i, [7, 5] * 3) for i in range(600)] + [(1000 + i, [100 + 3 * i, 5, 101 + 3 * i, 5, 102 + 3 * i, 0]) for i in range(40)]
-    links = ngramjoin.prefix_links(spark.createDataFrame(rows, "node long, labels array<long>"), 7, 10, str(tmp_path))
-    joined = components.components(links.select("u", "v"), str(tmp_path / "c")).groupBy("component").count().collect()
-    assert {(r["component"], r["count"]) for r in joined} == {(0, 600)}
+    matched = ngramjoin.matched_prefixes(spark.createDataFrame(rows, "node long, labels array<long>"), 7, 10)
+    for depth in (7, 10):
+        assert sorted(map(tuple, ngramjoin.prefix_links(matched, depth, 10).collect())) == [(i, 0) for i in range(1, 600)]
 
 
 def test_components(spark, tmp_path):
@@ -318,6 +304,23 @@ def test_components(spark, tmp_path):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_equal_a_plain_walk(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + i, 1000) for i in range(80)] + [(3000 - i, 2999 - i) for i in range(150)]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    got = components.components(spark.createDataFrame(edges, "u long, v long"), str(tmp_path / "c"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {n: top(n) for n in root}
+
+
 def test_shingle_hashes_follow_words():
     h = common.SpanHasher()
     a, b = h.shingles(b"a b c d e f g", 5), h.shingles(b"x y a b c d e f g", 5)
