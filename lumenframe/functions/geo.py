@@ -79,29 +79,40 @@ def rank_by_distance(df: DataFrame, group: str, key: str, lat: str, lon: str, at
     return df.select(group, key, km.alias("km")).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("km", key)))
 
 
-def dbscan(points: DataFrame, key: str, lat: str, lon: str, km: float = 1.0, least: int = 5, rounds: int = 30) -> DataFrame:
-    """key, cluster (-1: noise). Points meet only those of their own and the adjacent grid cells of side ``km``; clusters are
-    the smallest key that linked core points pass on, round by round."""
+def _settled(df: DataFrame) -> DataFrame:
+    """Without the lineage so far: a checkpoint where the session names a shared folder for them, else kept in the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def dbscan(points: DataFrame, key: str, lat: str, lon: str, km: float = 1.0, least: int = 5, rounds: int = 60) -> DataFrame:
+    """key, cluster (-1: noise). Points meet only those of their own and the adjacent grid cells of side ``km``, on both sides of
+    the antimeridian. Clusters are the smallest key that linked core points pass on; each round passes it to the neighbours and
+    to the points that have the same label, until nothing changes."""
     import math
 
     step = math.degrees(km / EARTH_KM)
     row = F.floor(F.col(lat) / step)
-    narrow = F.greatest(F.cos(F.radians((F.floor(F.col(lat) / step) + 0.5) * step)), F.lit(0.01))
-    base = points.select(F.col(key).alias("k"), F.col(lat).alias("la"), F.col(lon).alias("lo"), row.alias("r"), narrow.alias("w"))
-    spread = base.select("k", "la", "lo", F.explode(F.array(*[F.col("r") + d for d in (-1, 0, 1)])).alias("r"))
-    cells = spread.withColumn("w", F.greatest(F.cos(F.radians((F.col("r") + 0.5) * step)), F.lit(0.01)))
-    around = cells.select("k", "la", "lo", "r", F.explode(F.array(*[F.floor(F.col("lo") * F.col("w") / step) + d for d in (-2, -1, 0, 1, 2)])).alias("c"))
-    own = base.select(F.col("k").alias("k2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "r", F.floor(F.col("lo") * F.col("w") / step).alias("c"))
-    near = around.join(own, ["r", "c"]).where(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= km).select("k", "k2").distinct().cache()
+    base = points.select(F.col(key).alias("k"), F.col(lat).alias("la"), (F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180).alias("lo"), row.alias("r"))
+    width = lambda r: F.greatest(F.cos(F.radians((r + 0.5) * step)), F.lit(0.01))
+    spread = base.select("k", "la", "lo", F.explode(F.array(*[F.col("r") + d for d in (-1, 0, 1)])).alias("r")).withColumn("w", width(F.col("r")))
+    edge = 3 * step / F.col("w")
+    seen = F.array(F.col("lo"), F.when(F.col("lo") > 180 - edge, F.col("lo") - 360), F.when(F.col("lo") < edge - 180, F.col("lo") + 360))
+    placed = spread.withColumn("x", F.explode(F.filter(seen, lambda x: x.isNotNull())))
+    around = placed.select("k", "la", "lo", "r", F.explode(F.array(*[F.floor(F.col("x") * F.col("w") / step) + d for d in (-2, -1, 0, 1, 2)])).alias("c")).distinct()
+    own = base.select(F.col("k").alias("k2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "r", F.floor(F.col("lo") * width(F.col("r")) / step).alias("c"))
+    near = _settled(around.join(own, ["r", "c"]).where(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= km).select("k", "k2").distinct())
     core = near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k")
-    links = near.join(core, "k").join(core.select(F.col("k").alias("k2")), "k2").cache()
+    links = _settled(near.join(core, "k").join(core.select(F.col("k").alias("k2")), "k2"))
     labels = core.withColumn("cluster", F.col("k"))
     for _ in range(rounds):
         passed = links.join(labels.select(F.col("k").alias("k2"), F.col("cluster").alias("c2")), "k2").groupBy("k").agg(F.min("c2").alias("m"))
-        new = labels.join(passed, "k", "left").select("k", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).cache()
-        same = new.exceptAll(labels).isEmpty()
-        labels = new
-        if same:
+        lower = labels.join(passed, "k", "left").select("k", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        hooks = lower.groupBy(F.col("old").alias("cluster")).agg(F.min("cluster").alias("to"))
+        new = _settled(lower.join(hooks, "cluster", "left").select("k", "old", F.least("cluster", F.coalesce("to", "cluster")).alias("cluster")))
+        labels = new.select("k", "cluster")
+        if new.where("old != cluster").isEmpty():
             break
-    edge = near.join(labels.select(F.col("k").alias("k2"), F.col("cluster")), "k2").groupBy("k").agg(F.min("cluster").alias("cluster"))
-    return points.select(F.col(key).alias("k")).join(edge, "k", "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    else:
+        raise RuntimeError(f"clusters didn't settle in {rounds} rounds")
+    reached = near.join(labels.select(F.col("k").alias("k2"), F.col("cluster")), "k2").groupBy("k").agg(F.min("cluster").alias("cluster"))
+    return points.select(F.col(key).alias("k")).join(reached, "k", "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Frequent English words, words of good and bad feeling, and words that turn or strengthen the next one.
+#: Frequent English words.
 STOPWORDS = tuple("a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so that the their them they this to was we were what when which who will with you your".split())
-POSITIVE = tuple("good great excellent amazing wonderful fantastic love best happy nice perfect awesome better like enjoy pleased satisfied brilliant".split())
-NEGATIVE = tuple("bad terrible awful horrible worst hate poor sad disappointing disappointed ugly wrong annoying angry useless broken fail failed".split())
-NEGATIONS, INTENSIFIERS = tuple("not no never none hardly".split()), tuple("very really extremely absolutely so".split())
+#: Fixed values of the counting lexicon.
+POSITIVE = tuple("good great excellent amazing wonderful fantastic love like best happy glad pleased satisfied perfect awesome brilliant outstanding superb nice".split())
+NEGATIVE = tuple("bad terrible awful horrible poor worst hate dislike unhappy sad angry disappointed useless broken waste fail problem".split())
+#: Fixed values of the scanning lexicon; a word that ends with n't turns the next one too.
+SCAN_POSITIVE = tuple("good great excellent amazing wonderful fantastic love happy joy best beautiful perfect awesome brilliant outstanding superb nice positive success win winning pleased delighted satisfied recommend".split())
+SCAN_NEGATIVE = tuple("bad terrible awful horrible worst hate sad angry disappointed poor wrong fail failure negative problem issue broken useless waste annoying frustrating upset unhappy regret avoid".split())
+INTENSIFIERS = tuple("very really extremely absolutely totally".split())
+NEGATIONS = tuple("not n't no never neither nobody nothing".split())
 
 CLEANERS: dict[str, Callable[[Column], Column]] = {
     "lowercase": F.lower,
@@ -181,24 +186,31 @@ def detect_kinds(df: DataFrame, columns: list[str], least: float = 0.8) -> DataF
 
 
 def lexicon_sentiment(c: Column) -> Column:
-    """(good - bad) / (good + bad), 0 without either."""
-    words = tokens(c)
+    """(good - bad) / (good + bad) among the words between white space, 0 without either."""
+    words = split_words(F.lower(c))
     good, bad = F.size(F.filter(words, lambda w: w.isin(*POSITIVE))), F.size(F.filter(words, lambda w: w.isin(*NEGATIVE)))
     return F.coalesce(F.try_divide((good - bad).cast("double"), good + bad), F.lit(0.0))
 
 
 def scanned_sentiment(c: Column) -> Column:
-    """One fold over the words: a strengthener multiplies the next hit by 1.5 and a negation turns it."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("hits"), F.lit(1.0).alias("weight"))
+    """One fold over the words between white space: a strengthener makes the next hit count 1.5, a negation turns it, and a hit
+    ends both. (good - bad) / (good + bad), 0 without hits."""
+    start = F.struct(F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"), F.lit(1.0).alias("weight"), F.lit(False).alias("turned"))
 
     def step(s, w):
-        value = F.when(w.isin(*POSITIVE), 1.0).when(w.isin(*NEGATIVE), -1.0).otherwise(0.0)
-        hit = value != 0
-        weight = F.when(w.isin(*NEGATIONS), -1.0 * F.abs(s["weight"])).when(w.isin(*INTENSIFIERS), s["weight"] * 1.5).when(hit, 1.0).otherwise(s["weight"])
-        return F.struct((s["sum"] + value * s["weight"]).alias("sum"), (s["hits"] + hit.cast("int")).alias("hits"), weight.cast("double").alias("weight"))
-
-    end = F.aggregate(tokens(c), start, step)
-    return F.coalesce(F.try_divide(end["sum"], end["hits"]), F.lit(0.0))
+        good, bad = w.isin(*SCAN_POSITIVE), w.isin(*SCAN_NEGATIVE)
+        strong, turns = w.isin(*INTENSIFIERS), w.isin(*NEGATIONS) | w.endswith("n't")
+        counts = (good | bad) & ~strong & ~turns
+        up = good != s["turned"]
+        return F.struct(
+            (s["good"] + F.when(counts & up, s["weight"]).otherwise(0.0)).alias("good"),
+            (s["bad"] + F.when(counts & ~up, s["weight"]).otherwise(0.0)).alias("bad"),
+            F.when(strong, 1.5).when(counts, 1.0).otherwise(s["weight"]).alias("weight"),
+            F.when(strong, s["turned"]).when(turns, True).when(counts, False).otherwise(s["turned"]).alias("turned"),
+        )
+
+    end = F.aggregate(split_words(F.lower(c)), start, step)
+    return F.coalesce(F.try_divide(end["good"] - end["bad"], end["good"] + end["bad"]), F.lit(0.0))
 
 
 ENTITIES = {

@@ -10,11 +10,19 @@ from pyspark.sql.window import Window
 
 from .timeseries import period_of
 
-#: Segment by recency score and frequency score.
+#: Segments by (recency score, frequency score).
 SEGMENTS = {
-    "Champions": [(5, 5), (5, 4), (4, 5)], "Loyal Customers": [(4, 4), (3, 5), (3, 4)], "Potential Loyalists": [(5, 3), (4, 3), (5, 2)], "New Customers": [(5, 1)],
-    "Promising": [(4, 2), (4, 1)], "Need Attention": [(3, 3)], "About To Sleep": [(3, 2), (3, 1)], "At Risk": [(2, 5), (2, 4), (2, 3)],
-    "Cannot Lose Them": [(1, 5), (1, 4)], "Hibernating": [(2, 2), (2, 1), (1, 3)], "Lost": [(1, 2), (1, 1)],
+    (5, 5): "Champions", (5, 4): "Champions", (4, 5): "Champions",
+    (4, 4): "Loyal Customers", (3, 5): "Loyal Customers", (3, 4): "Loyal Customers",
+    (5, 3): "Potential Loyalists", (4, 3): "Potential Loyalists", (5, 2): "Potential Loyalists",
+    (5, 1): "New Customers", (4, 1): "New Customers",
+    (4, 2): "Promising", (3, 1): "Promising",
+    (3, 3): "Need Attention", (3, 2): "Need Attention", (2, 3): "Need Attention",
+    (2, 2): "About to Sleep", (2, 1): "About to Sleep",
+    (2, 5): "At Risk", (2, 4): "At Risk",
+    (1, 5): "Can't Lose Them", (1, 4): "Can't Lose Them",
+    (1, 3): "Hibernating", (1, 2): "Hibernating",
+    (1, 1): "Lost",
 }
 
 
@@ -33,7 +41,7 @@ def rfm(df: DataFrame, customer: str, date: str, amount: str, reference: str) ->
     edges = per.agg(*[F.percentile(c, cuts).alias(f"_{c}") for c in ("recency", "frequency", "monetary")])
     bucket = lambda c: (1 + sum([(F.col(c) > F.col(f"_{c}")[i]).cast("int") for i in range(4)], F.lit(0))).cast("int")
     scored = per.crossJoin(F.broadcast(edges)).withColumns({"r_score": (6 - bucket("recency")).cast("int"), "f_score": bucket("frequency"), "m_score": bucket("monetary")}).drop("_recency", "_frequency", "_monetary")
-    names = F.create_map(*[x for name, cells in SEGMENTS.items() for r, f in cells for x in (F.lit(10 * r + f), F.lit(name))])
+    names = F.create_map(*[x for (r, f), name in SEGMENTS.items() for x in (F.lit(10 * r + f), F.lit(name))])
     return scored.withColumn("segment", names[F.col("r_score") * 10 + F.col("f_score")])
 
 

@@ -359,17 +359,22 @@ def series_missing_dates(spark: Session, d: str) -> DataFrame:
 # Business
 
 
-@query("""WITH p AS (SELECT o_custkey, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2002-01-01') AS recency, count(*) AS frequency, sum(o_totalprice) AS monetary FROM orders GROUP BY 1),
+RFM_SQL = """WITH p AS (SELECT o_custkey, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2002-01-01') AS recency, count(*) AS frequency, sum(o_totalprice) AS monetary FROM orders GROUP BY 1),
 q AS (SELECT quantile_cont(recency, [0.2, 0.4, 0.6, 0.8]) AS r, quantile_cont(frequency, [0.2, 0.4, 0.6, 0.8]) AS f, quantile_cont(monetary, [0.2, 0.4, 0.6, 0.8]) AS m FROM p)
 SELECT o_custkey, CAST(recency AS INT) AS recency, frequency, round(monetary, 2) AS monetary, 5 - CAST(recency > r[1] AS INT) - CAST(recency > r[2] AS INT) - CAST(recency > r[3] AS INT) - CAST(recency > r[4] AS INT) AS r_score,
-1 + CAST(frequency > f[1] AS INT) + CAST(frequency > f[2] AS INT) + CAST(frequency > f[3] AS INT) + CAST(frequency > f[4] AS INT) AS f_score, 1 + CAST(monetary > m[1] AS INT) + CAST(monetary > m[2] AS INT) + CAST(monetary > m[3] AS INT) + CAST(monetary > m[4] AS INT) AS m_score FROM p, q""")
+1 + CAST(frequency > f[1] AS INT) + CAST(frequency > f[2] AS INT) + CAST(frequency > f[3] AS INT) + CAST(frequency > f[4] AS INT) AS f_score, 1 + CAST(monetary > m[1] AS INT) + CAST(monetary > m[2] AS INT) + CAST(monetary > m[3] AS INT) + CAST(monetary > m[4] AS INT) AS m_score FROM p, q"""
+RFM_CASE = "CASE " + " ".join(f"WHEN r_score = {r} AND f_score = {f} THEN '{name.replace(chr(39), chr(39) * 2)}'" for (r, f), name in B.SEGMENTS.items()) + " END"
+
+
+@query(f"SELECT *, {RFM_CASE} AS segment FROM ({RFM_SQL})")
 def rfm_scores(spark: Session, d: str) -> DataFrame:
-    return rounded(B.rfm(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "2002-01-01").drop("segment"), 2)
+    return rounded(B.rfm(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "2002-01-01"), 2)
 
 
-@query()
+@query(f"""SELECT segment, count(*) AS customers, round(avg(recency), 4) AS recency, round(avg(frequency), 4) AS frequency, round(sum(monetary), 1) AS revenue,
+round(count(*) / sum(count(*)) OVER (), 4) AS share FROM (SELECT *, {RFM_CASE} AS segment FROM ({RFM_SQL})) GROUP BY 1""")
 def rfm_segments(spark: Session, d: str) -> DataFrame:
-    return B.segment_table(B.rfm(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "2002-01-01"))
+    return rounded(B.segment_table(B.rfm(load(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "2002-01-01"))).withColumn("revenue", F.round("revenue", 1))
 
 
 @query("""WITH f AS (SELECT o_custkey, date_trunc('quarter', min(o_orderdate)) AS c FROM orders GROUP BY 1),
@@ -464,17 +469,9 @@ def basket_rules(spark: Session, d: str) -> DataFrame:
     return rounded(rules.select(F.col("antecedent")[0].alias("a"), F.col("consequent")[0].alias("c"), "support", "confidence", "lift"))
 
 
-@query("""WITH r AS (SELECT o_custkey AS u, l_partkey % 50 AS i, avg(l_quantity) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), n AS (SELECT i, sqrt(sum(r * r)) AS n FROM r GROUP BY 1)
-SELECT x.i AS a, y.i AS b, round(sum(x.r * y.r) / max(p.n * q.n), 4) AS similarity FROM r x JOIN r y ON x.u = y.u AND x.i < y.i JOIN n p ON p.i = x.i JOIN n q ON q.i = y.i GROUP BY 1, 2""")
-def item_similarity(spark: Session, d: str) -> DataFrame:
-    """Of parts folded to 50 items, as its SQL has it; item_similarity_catalogue takes every part."""
-    df = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("u"), (F.col("l_partkey") % 50).alias("i"), F.col("l_quantity").alias("r"))
-    return rounded(B.item_similarity(df, "u", "i", "r"))
-
-
 @query("""WITH r AS (SELECT o_custkey AS u, l_partkey AS i, avg(l_quantity) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), n AS (SELECT i, sqrt(sum(r * r)) AS n FROM r GROUP BY 1)
 SELECT x.i AS a, y.i AS b, round(sum(x.r * y.r) / max(p.n * q.n), 4) AS similarity FROM r x JOIN r y ON x.u = y.u AND x.i < y.i JOIN n p ON p.i = x.i JOIN n q ON q.i = y.i GROUP BY 1, 2""")
-def item_similarity_catalogue(spark: Session, d: str) -> DataFrame:
+def item_similarity(spark: Session, d: str) -> DataFrame:
     df = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("i"), F.col("l_quantity").alias("r"))
     return rounded(B.item_similarity(df, "u", "i", "r"))
 
@@ -700,14 +697,8 @@ def text_cleaning(spark: Session, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", text.clean(F.col("text"), ["lowercase", "remove_numbers", "remove_punctuation", "remove_whitespace"]).alias("cleaned"))
 
 
-@query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\b[a-z]{2,}\\b')) AS word FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY 1""")
-def text_word_counts(spark: Session, d: str) -> DataFrame:
-    """Of the documents without non-ASCII characters only, as its SQL has it; text_word_counts_all counts every document."""
-    return load(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS word FROM documents) WHERE regexp_matches(word, '^[\\p{L}\\p{M}]{2,}$') GROUP BY 1""")
-def text_word_counts_all(spark: Session, d: str) -> DataFrame:
+def text_word_counts(spark: Session, d: str) -> DataFrame:
     return load(spark, d, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 

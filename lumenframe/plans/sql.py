@@ -3,30 +3,46 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that a statement may not hold, functions that read files, limits.
-FORBIDDEN = tuple("insert update delete drop alter create truncate merge replace attach detach copy pragma grant revoke call vacuum export import install load set use refresh cache uncache msck analyze".split())
-FILE_FUNCTIONS = tuple("read_csv read_csv_auto read_json read_json_auto read_parquet parquet_scan csv_scan glob read_text read_blob sqlite_scan postgres_scan mysql_scan read_files".split())
+#: Words that a statement may not hold outside of literals, functions that read files, limits.
+FORBIDDEN = tuple("insert update delete drop alter create truncate grant revoke copy call execute vacuum attach detach pragma".split())
+FILE_FUNCTIONS = tuple("read_csv read_csv_auto read_parquet read_json read_json_auto parquet_scan csv_scan json_scan sqlite_scan postgres_scan mysql_scan iceberg_scan delta_scan".split())
 DEFAULT_ROWS, MAX_ROWS = 1000, 50_000
+#: Nodes of a parsed statement that only read, table functions that make rows of their arguments, functions that reach the machine.
+READING = frozenset(
+    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Deduplicate Union Except Intersect UnresolvedWith SubqueryAlias UnresolvedHaving "
+    "OneRowRelation UnresolvedInlineTable UnresolvedRelation UnresolvedTableValuedFunction UnresolvedSubqueryColumnAliases Generate WithWindowDefinition Window Pivot "
+    "Unpivot UnresolvedPivot LateralJoin Sample Tail LocalRelation UnresolvedOrderByAll Expand AggregateInPandas".split()
+)
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
+MACHINE_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name".split())
 
 
 class UnsafeSQL(ValueError):
     """The statement isn't a single read of the dataset."""
 
 
-def normalize(sql: str) -> str:
-    out = sql.strip().rstrip(";").strip()
-    if not out or ";" in out:
-        raise UnsafeSQL("one statement is asked for")
-    return out
+#: Literals, quoted names and comments.
+_LITERALS = re.compile(r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"\\]|""|\\.)*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", re.S)
 
 
 def _bare(sql: str) -> str:
-    return re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip()
+    """Without comments and the contents of literals."""
+    return _LITERALS.sub(lambda m: " " if m[0][:2] in ("--", "/*") else m[0][0] * 2, sql).strip()
+
+
+def normalize(sql: str) -> str:
+    out = sql.strip()
+    while _bare(out).endswith(";") and out.endswith(";"):
+        out = out[:-1].rstrip()
+    if not out or ";" in _bare(out):
+        raise UnsafeSQL("one statement is asked for")
+    return out
 
 
 def validate_readonly(sql: str) -> str:
@@ -42,23 +58,59 @@ def validate_readonly(sql: str) -> str:
 def validate_dataset(sql: str) -> str:
     out = validate_readonly(sql)
     bare = _bare(out)
-    if m := re.search(rf"(?i)\b({'|'.join(FILE_FUNCTIONS)})\s*\(", bare):
+    if m := re.search(rf"(?i)\b({'|'.join(FILE_FUNCTIONS)})\b", bare):
         raise UnsafeSQL(f"{m[1]} isn't allowed")
-    if re.search(r"(?i)\b(from|join)\s+'|\b(from|join)\s+\w+\s*\.\s*`", bare):
+    if re.search(r"""(?i)\b(from|join)\s+['"]""", bare):
         raise UnsafeSQL("files can't be read")
     return out
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _checked_expression(node, names: frozenset[str]) -> None:
+    if node.nodeName() == "UnresolvedFunction" and (called := [str(x).lower() for x in _items(node.nameParts())]) and called[-1] in MACHINE_FUNCTIONS:
+        raise UnsafeSQL(f"{called[-1]} isn't allowed")
+    for child in _items(node.children()):
+        _checked_expression(child, names)
+
+
+def _checked(plan, names: frozenset[str]) -> None:
+    """Refuses a parsed plan that does more than read the relations of ``names``, at any depth."""
+    kind = plan.nodeName()
+    if kind not in READING:
+        raise UnsafeSQL(f"{kind} isn't allowed")
+    if kind == "UnresolvedRelation":
+        parts = [str(x).lower() for x in _items(plan.multipartIdentifier())]
+        if len(parts) != 1 or parts[0] not in names:
+            raise UnsafeSQL(f"unknown relation: {'.'.join(parts)}")
+    elif kind == "UnresolvedTableValuedFunction":
+        called = [str(x).lower() for x in _items(plan.name())]
+        if called[-1] not in TABLE_FUNCTIONS:
+            raise UnsafeSQL(f"{called[-1]} isn't allowed")
+    elif kind == "UnresolvedWith":
+        for pair in _items(plan.cteRelations()):
+            _checked(pair._2(), names)
+            names |= {str(pair._1()).lower()}
+    for expression in _items(plan.expressions()):
+        _checked_expression(expression, names)
+    for part in [*_items(plan.children()), *_items(plan.subqueries())]:
+        _checked(part, names)
+
+
 def query_dataset(df: DataFrame, sql: str, limit: int = DEFAULT_ROWS) -> DataFrame:
-    """The statement over a view ``dataset``. Relations other than the view and the statement's own names are refused on the parsed plan."""
+    """The statement over a view ``dataset``. The parsed plan is walked, with its subqueries and named parts: other relations, files,
+    other table functions, and anything that isn't a read are refused."""
     checked = validate_dataset(sql)
     spark = df.sparkSession
-    own = {m.lower() for m in re.findall(r"(?i)(?:with|,)\s+(\w+)\s+as\s*\(", _bare(checked))}
-    used = {m.strip("`").lower() for m in re.findall(r"(?i)\b(?:from|join)\s+(`?[A-Za-z_][\w.]*`?)", _bare(checked))}
-    if others := used - own - {"dataset"}:
-        raise UnsafeSQL(f"unknown relations: {sorted(others)}")
-    text = re.sub(r"(?i)\b(from|join)(\s+)`?dataset`?\b", r"\1\2{dataset}", checked.replace("{", "{{").replace("}", "}}"))
-    return spark.sql(text, dataset=df).limit(max(1, min(limit, MAX_ROWS)))
+    _checked(spark._jsparkSession.sessionState().sqlParser().parsePlan(checked), frozenset({"dataset"}))
+    name = f"dataset_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        return spark.sql(f"WITH dataset AS (SELECT * FROM {name}) SELECT * FROM ({checked})").limit(max(1, min(limit, MAX_ROWS)))
+    finally:
+        spark.catalog.dropTempView(name)
 
 
 def quote(identifier: str) -> str:

@@ -86,7 +86,7 @@ def test_series(spark):
 
 
 def test_text(spark):
-    df = spark.createDataFrame([(1, "Not good. Very bad idea!"), (2, "great great"), (3, None), (4, "")], "id int, t string")
+    df = spark.createDataFrame([(1, "Not good and very bad idea!"), (2, "great great"), (3, None), (4, "")], "id int, t string")
     got = {r["id"]: r["s"] for r in df.select("id", text.scanned_sentiment(F.col("t")).alias("s")).collect()}
     assert got[1] < 0 < got[2] and got[4] == 0
     assert df.select(text.similarity_ratio(F.lit("kitten"), F.lit("sitting"))).first()[0] == pytest.approx(1 - 3 / 7)
@@ -218,7 +218,7 @@ def test_word_counts_read_every_document(spark):
     sf = "/root/testdata/sf0.001"
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     assert any(not x.isascii() for x in texts if x)
-    got = {r["word"]: r["n"] for r in registry.queries()["text_word_counts_all"](spark, sf).collect()}
+    got = {r["word"]: r["n"] for r in registry.queries()["text_word_counts"](spark, sf).collect()}
     plain = Counter(w for x in texts for w in re.findall(r"[^\W]+", (x or "").lower()) if w.isascii() and w.isalpha() and len(w) > 1)
     assert {w: n for w, n in got.items() if w.isascii()} == plain and any(not w.isascii() for w in got)
 
@@ -274,3 +274,45 @@ def test_permutation_uses_every_value_once(spark):
     df = spark.range(1000).select(array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"))
     ml.permutation_importance(Model(), df, ["x"], Evaluator())
     assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("bad", [
+    "delete from dataset", "select 1; select 2", "/* hi */ insert into t values (1)", "drop table dataset", "select * from hidden_t", "select x from dataset, hidden_t",
+    "select count(*) from dataset, parquet.`/root/testdata/sf0.001/region.parquet`", "select * from dataset where x in (select x from hidden_t)",
+    "select (select max(x) from hidden_t) from dataset", "with t as (select * from hidden_t) select * from t", "select * from hidden_t, (with hidden_t as (select 1 as x) select * from hidden_t) s",
+    "select * from read_csv_auto('C:/secrets.csv')", "select * from 'C:/x.parquet'", "with t as (select * from read_parquet('C:/x.parquet')) select * from t",
+    "select reflect('java.lang.System', 'getenv', 'HOME') from dataset", "select * from dataset union all select * from hidden_t", "select * from dataset join lateral (select * from hidden_t)",
+])
+def test_guarded_sql_refuses(spark, bad):
+    from lumenframe.plans import sql as guarded
+
+    spark.createDataFrame([(7,)], "x int").createOrReplaceTempView("hidden_t")
+    with pytest.raises(guarded.UnsafeSQL):
+        guarded.query_dataset(spark.createDataFrame([(1,)], "x int"), bad).collect()
+
+
+@pytest.mark.parametrize("good, rows", [
+    ("select replace(a, 'x', 'y') as a from dataset", [("ya",)]), ("select load from dataset", [(1,)]), ("select 'set; drop' as s from dataset", [("set; drop",)]),
+    ("with t as (select load + 1 as n from dataset) select n from t, (select 1)", [(2,)]), ("select d.a from DATASET d where load in (select load from dataset);", [("xa",)]),
+    ("select x from dataset lateral view explode(array(load, 5)) v as x", [(1,), (5,)]), ("-- from hidden_t\nselect count(*) as n from dataset", [(1,)]),
+])
+def test_guarded_sql_allows(spark, good, rows):
+    from lumenframe.plans import sql as guarded
+
+    assert [tuple(r) for r in guarded.query_dataset(spark.createDataFrame([("xa", 1)], "a string, load int"), good).collect()] == rows
+
+
+def test_sentiment_follows_the_lists(spark):
+    from lumenframe.functions import text
+
+    rows = [("I am glad and superb", 1.0, 1.0), ("a waste and a problem", -1.0, -1.0), ("not good but great", 1.0, 0.0), ("isn't very bad", -1.0, 1.0), ("", 0.0, 0.0), ("good very bad", 0.0, -0.2)]
+    got = spark.createDataFrame([(t,) for t, _, _ in rows], "t string").select("t", text.lexicon_sentiment(F.col("t")).alias("a"), text.scanned_sentiment(F.col("t")).alias("b")).collect()
+    assert [(r["t"], r["a"], round(r["b"], 6)) for r in got] == rows
+
+
+def test_clusters_cross_the_antimeridian_and_long_chains(spark):
+    from lumenframe.functions import geo
+
+    points = [(i, 0.0, 179.99 - 0.02 * (i % 2) * 0 if i < 3 else -179.99) for i in range(6)] + [(100 + i, 40.0, 0.03 * i) for i in range(80)] + [(999, -60.0, 5.0)]
+    got = {r["k"]: r["cluster"] for r in geo.dbscan(spark.createDataFrame(points, "k long, la double, lo double"), "k", "la", "lo", km=5, least=2).collect()}
+    assert {got[i] for i in range(6)} == {0} and {got[100 + i] for i in range(80)} == {100} and got[999] == -1
