@@ -12,6 +12,7 @@ import base64
 import codecs
 import hashlib
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from .common import prepare, text_column
 SPACE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space inside a longer run of white space isn't always the start of a piece.
 _INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
+#: What an ASCII text must hold for that.
+_ASCII_SPACES = tuple(c + " " for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 #: Characters over which the pattern needs no Unicode tables, and the pattern over them.
 _PLAIN = re.compile("[ -~\t\n\r\u00a1-\u024f]*")
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\r"
@@ -75,6 +78,12 @@ def rank_tokenizer(ranks: dict[bytes, int], pattern: str):
     return out
 
 
+def inner_space(text: str) -> bool:
+    if text.isascii() and not any(map(text.__contains__, _ASCII_SPACES)):
+        return False
+    return _INNER_SPACE.search(text) is not None
+
+
 class _Recent(dict):
     """A cache of what ``make`` gives for a key. When it is full, its entries become the old generation, of which those that are
     met again come back, so that frequent keys stay and memory holds two generations. Long keys aren't kept."""
@@ -107,19 +116,36 @@ class CutEncoder:
     def __init__(self, tokenizer, cuts: bool = True) -> None:
         self.tokenizer, self.model, self.cuts = tokenizer, tokenizer.model, cuts
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (t.special and tokenizer.encode_special_tokens)]
-        self.first, self.later, self.pieces = _Recent(self._first, CACHE_PIECES), _Recent(self._later, CACHE_CUTS), _Recent(self._piece, CACHE_PIECES)
+        self.first, self.pieces = _Recent(self._first, CACHE_PIECES), _Recent(self._piece, CACHE_PIECES)
+        self.later = _Recent(self._maker(), CACHE_CUTS)
 
     def _first(self, cut: str) -> bytes:
-        return self._cut("", cut)
-
-    def _later(self, cut: str) -> bytes:
-        """Most cuts are a word, or a word and signs after it, which need no pattern."""
         word = cut.rstrip(_SIGNS)
         if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
-            if len(word) == len(cut):
-                return self._piece(" " + word)
-            return self.pieces[" " + word] + self.pieces[cut[len(word) :]]
-        return self._cut(" ", cut)
+            return self.pieces[word] + self.pieces[cut[len(word) :]] if len(word) < len(cut) else self.pieces[word]
+        return self._cut("", cut)
+
+    def _maker(self):
+        """Ids of a cut with the space before it. Most cuts are a word, or a word and signs after it, which need no pattern."""
+        tokenize, pieces, space, pack = self.model.tokenize, self.pieces, _LETTERS[32], struct.Struct
+
+        packers = [pack(f"<{n}I").pack for n in range(64)]
+
+        def make(cut: str) -> bytes:
+            word = cut.rstrip(_SIGNS)
+            if word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+                if len(word) < len(cut):
+                    return self.later[word] + pieces[cut[len(word) :]]
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+                ids = [t.id for t in tokenize(space + shown)]
+                return packers[len(ids)](*ids) if len(ids) < 64 else array("I", ids).tobytes()
+            # a single line break between words is a piece of its own
+            before, line, after = cut.partition("\n")
+            if line and before and after and not before[-1].isspace() and not after[0].isspace():
+                return self.later[before] + pieces["\n"] + self.first[after]
+            return self._cut(" ", cut)
+
+        return make
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
@@ -133,7 +159,7 @@ class CutEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out, first, later = [], self.first.__getitem__, self.later.__getitem__
         for text in texts:
-            if not self.cuts or _INNER_SPACE.search(text) or any(t in text for t in self.added):
+            if not self.cuts or inner_space(text) or (self.added and any(t in text for t in self.added)):
                 out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 head, *tail = text.split(" ")
