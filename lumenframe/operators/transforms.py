@@ -76,7 +76,7 @@ def fill_missing(df: DataFrame, columns, strategy: str = "constant", value=None,
 
 
 def drop_missing(df: DataFrame, columns=None, how: str = "any") -> DataFrame:
-    return df.dropna(how, _need(df, _listed(columns)) or None)
+    return df.dropna(how, subset=_need(df, _listed(columns)) or None)
 
 
 def deduplicate(df: DataFrame, subset=None, keep: str = "first", order_by=None) -> DataFrame:

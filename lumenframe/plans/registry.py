@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import coverage as _coverage  # noqa: F401  registers its functions
 from . import queries as _queries  # noqa: F401  registers its functions
 from .catalog import QUERIES, SQL, Query, load, query
 
