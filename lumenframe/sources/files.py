@@ -30,8 +30,22 @@ def sniff(head: bytes) -> tuple[str, str]:
 
 
 def _head(spark: SparkSession, path: str, size: int = 10_000) -> bytes:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size)).first()
-    return bytes(row[0]) if row else b""
+    """The first bytes of the path's first file that has any, however large it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    waiting = sorted(files.globStatus(where) or [], key=lambda x: x.getPath().toString())
+    while waiting:
+        found = waiting.pop(0)
+        if found.isDirectory():
+            inside = [x for x in files.listStatus(found.getPath()) if x.getPath().getName()[:1] not in ("_", ".")]
+            waiting = sorted(inside, key=lambda x: x.getPath().toString()) + waiting
+        elif found.getLen():
+            stream = files.open(found.getPath())
+            try:
+                return bytes(stream.readNBytes(size))
+            finally:
+                stream.close()
+    return b""
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str | None = None, delimiter: str | None = None, header: bool = True) -> DataFrame:
@@ -39,7 +53,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if not (encoding and delimiter):
         e, d = sniff(_head(spark, path))
         encoding, delimiter = encoding or e, delimiter or d
-    reader = spark.read.options(header=header, sep=delimiter, encoding=encoding, mode="DROPMALFORMED")
+    charset = "iso-8859-1" if encoding.lower() in ("latin-1", "latin1", "cp1252") else encoding  # the one that Spark knows
+    reader = spark.read.options(header=header, sep=delimiter, encoding=charset, mode="DROPMALFORMED")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
@@ -61,12 +76,12 @@ def read(spark: SparkSession, path: str, kind: str | None = None, **options) ->
 JDBC = {"postgresql": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "sqlite": "org.sqlite.JDBC", "sqlserver": "com.microsoft.sqlserver.jdbc.SQLServerDriver"}
 
 
-def jdbc_options(url: str, query: str, timeout: int = 15, limit: int = 200_000) -> dict[str, str]:
-    """Options of a guarded read-only query; the scheme chooses the driver."""
+def jdbc_options(url: str, query: str, timeout: int = 15, limit: int | None = 200_000) -> dict[str, str]:
+    """Options of a guarded read-only query; the scheme chooses the driver. Without a limit all rows are read."""
     from ..plans.sql import validate_readonly
 
     scheme = url.split(":")[1] if url.startswith("jdbc:") else url.split(":")[0]
-    return {"url": url if url.startswith("jdbc:") else f"jdbc:{url}", "driver": JDBC[scheme], "query": f"SELECT * FROM ({validate_readonly(query)}) AS q LIMIT {limit}", "queryTimeout": str(timeout)}
+    return {"url": url if url.startswith("jdbc:") else f"jdbc:{url}", "driver": JDBC[scheme], "query": f"SELECT * FROM ({validate_readonly(query)}) AS q" + (f" LIMIT {limit}" if limit is not None else ""), "queryTimeout": str(timeout)}
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:

@@ -316,3 +316,15 @@ def test_clusters_cross_the_antimeridian_and_long_chains(spark):
     points = [(i, 0.0, 179.99 - 0.02 * (i % 2) * 0 if i < 3 else -179.99) for i in range(6)] + [(100 + i, 40.0, 0.03 * i) for i in range(80)] + [(999, -60.0, 5.0)]
     got = {r["k"]: r["cluster"] for r in geo.dbscan(spark.createDataFrame(points, "k long, la double, lo double"), "k", "la", "lo", km=5, least=2).collect()}
     assert {got[i] for i in range(6)} == {0} and {got[100 + i] for i in range(80)} == {100} and got[999] == -1
+
+
+def test_delimited_text_is_sniffed_from_its_beginning(spark, tmp_path):
+    from lumenframe.sources import files
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "_SUCCESS").write_text("")
+    (tmp_path / "t" / "a.csv").write_bytes("k;v\n".encode() + b"1;caf\xe9\n" * 20_000)
+    got = files.read_csv(spark, str(tmp_path / "t"))
+    assert got.columns == ["k", "v"] and got.count() == 20_000 and got.first()["v"] == "café"
+    assert files._head(spark, str(tmp_path / "none*")) == b""
+    assert "LIMIT" not in files.jdbc_options("sqlite:x.db", "select 1 as a", limit=None)["query"]
