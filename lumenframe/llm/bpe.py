@@ -113,11 +113,11 @@ class CutEncoder:
     tokenizer looks for before it splits.
     """
 
-    def __init__(self, tokenizer, cuts: bool = True) -> None:
+    def __init__(self, tokenizer, cuts: bool = True, size: int = CACHE_CUTS) -> None:
         self.tokenizer, self.model, self.cuts = tokenizer, tokenizer.model, cuts
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content and not (t.special and tokenizer.encode_special_tokens)]
         self.first, self.pieces = _Recent(self._first, CACHE_PIECES), _Recent(self._piece, CACHE_PIECES)
-        self.later = _Recent(self._maker(), CACHE_CUTS)
+        self.later = _Recent(self._maker(), size)
 
     def _first(self, cut: str) -> bytes:
         word = cut.rstrip(_SIGNS)
@@ -203,7 +203,7 @@ def _codec(ranks_path: str, pattern: str) -> tuple[CutEncoder, Decoder]:
     key = (ranks_path, pattern)
     if key not in _loaded:
         ranks = read_ranks(ranks_path)
-        _loaded[key] = CutEncoder(rank_tokenizer(ranks, pattern), pattern == SPACE_PATTERN), Decoder(ranks)
+        _loaded[key] = CutEncoder(rank_tokenizer(ranks, pattern), pattern == SPACE_PATTERN, CACHE_CUTS // 3), Decoder(ranks)
     return _loaded[key]
 
 
