@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.order import in_ranges
 from .transforms import bounds
 
 
@@ -76,14 +77,27 @@ def representativeness(whole: DataFrame, sample: DataFrame, columns: list[str])
 
 
 def interpolate(df: DataFrame, value: str, order_by: str, limit: int | None = None) -> DataFrame:
-    """Linear between the nearest values on either side, along the row's place."""
-    w = Window.orderBy(order_by)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col("_i"))
-    out = df.withColumn("_i", F.row_number().over(w)).withColumns({"_a": F.last(value, ignorenulls=True).over(back), "_b": F.first(value, ignorenulls=True).over(ahead)}).withColumns({"_ai": F.last(at, ignorenulls=True).over(back), "_bi": F.first(at, ignorenulls=True).over(ahead)})
-    line = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_i") - F.col("_ai")) / (F.col("_bi") - F.col("_ai"))
-    near = (F.col("_i") - F.col("_ai")) <= limit if limit else F.lit(True)
-    return out.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(near, F.coalesce(line, F.col("_a")))).drop("_i", "_a", "_b", "_ai", "_bi")
+    """Linear between the nearest values on either side, along the row's place; among equal places nulls and small values come first.
+
+    Windows run within ranges of the order and look back only, as a frame that reaches ahead to its end is read again for every
+    row. What lies before and after a range comes from a table with a row for each range.
+    """
+    w = Window.partitionBy("_part")
+    within = in_ranges(df, order_by).withColumn("_i", F.row_number().over(w.orderBy(order_by, value)).cast("long"))
+    within = within.withColumn("_seen", F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v"))))
+    up, down = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col("_start") + F.col(c)["i"]).alias("i"), F.col(c)["v"].alias("v")))
+    edges = within.groupBy("_part").agg(F.count("*").alias("n"), F.min_by("_seen", F.col("_seen")["i"]).alias("low"), F.max_by("_seen", F.col("_seen")["i"]).alias("high"))
+    edges = edges.withColumn("_start", F.coalesce(F.sum("n").over(up), F.lit(0)))
+    edges = edges.select("_part", "_start", F.last(moved("high"), ignorenulls=True).over(up).alias("_before"), F.last(moved("low"), ignorenulls=True).over(down).alias("_after"))
+    back = w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = w.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    out = within.withColumns({"_a": F.last("_seen", ignorenulls=True).over(back), "_b": F.last("_seen", ignorenulls=True).over(ahead)})
+    out = out.join(F.broadcast(edges), "_part").withColumns({"_i": F.col("_start") + F.col("_i"), "_a": F.coalesce(moved("_a"), "_before"), "_b": F.coalesce(moved("_b"), "_after")})
+    a, b = F.col("_a"), F.col("_b")
+    line = a["v"] + (b["v"] - a["v"]) * (F.col("_i") - a["i"]) / (b["i"] - a["i"])
+    near = (F.col("_i") - a["i"]) <= limit if limit else F.lit(True)
+    return out.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(near, F.coalesce(line, a["v"]))).select(*[f"`{c}`" for c in df.columns])
 
 
 def hot_deck(df: DataFrame, value: str, key: str, stratum: str | None = None, seed: int = 42, salts: int = 64) -> DataFrame:

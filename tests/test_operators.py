@@ -328,3 +328,23 @@ def test_delimited_text_is_sniffed_from_its_beginning(spark, tmp_path):
     assert got.columns == ["k", "v"] and got.count() == 20_000 and got.first()["v"] == "café"
     assert files._head(spark, str(tmp_path / "none*")) == b""
     assert "LIMIT" not in files.jdbc_options("sqlite:x.db", "select 1 as a", limit=None)["query"]
+
+
+def test_interpolation_over_ranges(spark, capsys):
+    n = 2000
+    known = {i: float((i * 37) % 101) for i in range(5, n - 5) if i % 7 == 0 and not 300 < i < 1500}
+    rows = [(3 * i, known.get(i)) for i in range(n)]
+    df = spark.createDataFrame(rows[::-1], "i long, v double")
+    got = sampling.interpolate(df, "v", "i")
+    at = sorted(known)
+    want = {}
+    for i in range(n):
+        a, b = max((k for k in at if k <= i), default=None), min((k for k in at if k >= i), default=None)
+        want[3 * i] = known[i] if i in known else None if a is None else known[a] if b is None else known[a] + (known[b] - known[a]) * (i - a) / (b - a)
+    assert {r["i"]: r["v"] for r in got.collect()} == pytest.approx(want)
+    few = {r["i"]: r["v"] for r in sampling.interpolate(df, "v", "i", limit=2).collect()}
+    assert few == pytest.approx({3 * i: want[3 * i] if any(k in known for k in (i, i - 1, i - 2)) else None for i in range(n)})
+    # A frame that ends with the table is read again for every row, and a window without a partition is one task.
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "unboundedfollowing" not in plan and "hashpartitioning(_part" in plan
