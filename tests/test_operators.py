@@ -348,3 +348,21 @@ def test_interpolation_over_ranges(spark, capsys):
     got.explain()
     plan = capsys.readouterr().out
     assert "unboundedfollowing" not in plan and "hashpartitioning(_part" in plan
+
+
+def test_profile_ranks_values_without_holding_them(spark, capsys):
+    import decimal
+
+    rows = [((i * 7919) % 1009, None if i % 5 == 0 else (i * 31 % 997) / 7, None, f"t{i % 13}", decimal.Decimal(i % 17) / 4, (1 << 60) + i % 3) for i in range(1500)] + [(5, float("nan"), None, None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, d string, e decimal(9,2), f long")
+    out = quality.profile(df)
+    out.explain()
+    assert "percentile(" not in capsys.readouterr().out  # it keeps a map of all values of a column in one task
+    got = {r["column"]: r for r in out.collect()}
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    for c in "abcef":
+        want = df.agg(F.count_distinct(c).alias("unique"), *[F.percentile(F.col(c).cast("double"), q).alias(k) for k, q in shares.items()]).first()
+        assert {k: got[c][k] for k in want.asDict()} == want.asDict()
+    assert got["f"]["unique"] == 3 and got["d"]["unique"] == 13 and got["d"]["median"] is None and got["c"]["median"] is None
+    assert [r["unique"] for r in quality.profile(df.limit(0)).collect()] == [0] * 6
+    assert quality.profile(df.select("d")).first()["unique"] == 13
