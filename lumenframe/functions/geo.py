@@ -85,24 +85,26 @@ def _settled(df: DataFrame) -> DataFrame:
 
 
 def dbscan(points: DataFrame, key: str, lat: str, lon: str, km: float = 1.0, least: int = 5, rounds: int = 60) -> DataFrame:
-    """key, cluster (-1: noise). Points meet only those of their own and the adjacent grid cells of side ``km``, on both sides of
-    the antimeridian. Clusters are the smallest key that linked core points pass on; each round passes it to the neighbours and
-    to the points that have the same label, until nothing changes."""
+    """key, cluster (-1: noise). Points at one place share their neighbours and cluster, so places stand for them, with the smallest
+    key and the number of keys there. Places meet only those of their own and the adjacent grid cells of side ``km``, on both
+    sides of the antimeridian. Clusters are the smallest key that linked core places pass on; each round passes it to the
+    neighbours and to the places that have the same label, until nothing changes."""
     import math
 
     step = math.degrees(km / EARTH_KM)
     row = F.floor(F.col(lat) / step)
-    base = points.select(F.col(key).alias("k"), F.col(lat).alias("la"), (F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180).alias("lo"), row.alias("r"))
+    placed = points.select(F.col(key).alias("k"), F.col(lat).alias("la"), (F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180).alias("lo"), row.alias("r"))
+    base = placed.where(F.col("la").isNotNull() & F.col("lo").isNotNull()).groupBy("la", "lo", "r").agg(F.min("k").alias("k"), F.count_distinct("k").alias("n"))
     width = lambda r: F.greatest(F.cos(F.radians((r + 0.5) * step)), F.lit(0.01))
     spread = base.select("k", "la", "lo", F.explode(F.array(*[F.col("r") + d for d in (-1, 0, 1)])).alias("r")).withColumn("w", width(F.col("r")))
     edge = 3 * step / F.col("w")
     seen = F.array(F.col("lo"), F.when(F.col("lo") > 180 - edge, F.col("lo") - 360), F.when(F.col("lo") < edge - 180, F.col("lo") + 360))
-    placed = spread.withColumn("x", F.explode(F.filter(seen, lambda x: x.isNotNull())))
-    around = placed.select("k", "la", "lo", "r", F.explode(F.array(*[F.floor(F.col("x") * F.col("w") / step) + d for d in (-2, -1, 0, 1, 2)])).alias("c")).distinct()
-    own = base.select(F.col("k").alias("k2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "r", F.floor(F.col("lo") * width(F.col("r")) / step).alias("c"))
-    near = _settled(around.join(own, ["r", "c"]).where(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= km).select("k", "k2").distinct())
-    core = near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k")
-    links = _settled(near.join(core, "k").join(core.select(F.col("k").alias("k2")), "k2"))
+    shown = spread.withColumn("x", F.explode(F.filter(seen, lambda x: x.isNotNull())))
+    around = shown.select("k", "la", "lo", "r", F.explode(F.array(*[F.floor(F.col("x") * F.col("w") / step) + d for d in (-2, -1, 0, 1, 2)])).alias("c")).distinct()
+    own = base.select(F.col("k").alias("k2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), F.col("n").alias("n2"), "r", F.floor(F.col("lo") * width(F.col("r")) / step).alias("c"))
+    near = _settled(around.join(own, ["r", "c"]).where(haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= km).select("k", "k2", "n2").distinct())
+    core = near.groupBy("k").agg(F.sum("n2").alias("n")).where(F.col("n") >= least).select("k")
+    links = _settled(near.select("k", "k2").join(core, "k").join(core.select(F.col("k").alias("k2")), "k2"))
     labels = core.withColumn("cluster", F.col("k"))
     for _ in range(rounds):
         passed = links.join(labels.select(F.col("k").alias("k2"), F.col("cluster").alias("c2")), "k2").groupBy("k").agg(F.min("c2").alias("m"))
@@ -115,4 +117,5 @@ def dbscan(points: DataFrame, key: str, lat: str, lon: str, km: float = 1.0, lea
     else:
         raise RuntimeError(f"clusters didn't settle in {rounds} rounds")
     reached = near.join(labels.select(F.col("k").alias("k2"), F.col("cluster")), "k2").groupBy("k").agg(F.min("cluster").alias("cluster"))
-    return points.select(F.col(key).alias("k")).join(reached, "k", "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    reached = base.select("la", "lo", "k").join(reached, "k").select("la", "lo", "cluster")
+    return placed.join(reached, ["la", "lo"], "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -366,3 +366,21 @@ def test_profile_ranks_values_without_holding_them(spark, capsys):
     assert got["f"]["unique"] == 3 and got["d"]["unique"] == 13 and got["d"]["median"] is None and got["c"]["median"] is None
     assert [r["unique"] for r in quality.profile(df.limit(0)).collect()] == [0] * 6
     assert quality.profile(df.select("d")).first()["unique"] == 13
+
+
+def test_clusters_of_many_points_at_one_place(spark, monkeypatch):
+    sizes, held = geo._settled, []
+    monkeypatch.setattr(geo, "_settled", lambda df: held.append(sizes(df)) or held[-1])
+    spots = [(0.0, 180.0, 300), (0.0, -180.0, 200), (0.0, 179.99, 1), (10.0, 10.0, 400), (10.02, 10.0, 1), (10.04, 10.0, 1), (20.0, 20.0, 2), (20.02, 20.0, 1), (30.0, 30.0, 3), (40.0, 40.0, 1), (None, 5.0, 3)]
+    points = [(la, lo) for la, lo, n in spots for _ in range(n)]
+    rows = [(len(points) - i, *p) for i, p in enumerate(points)]
+    got = {r["k"]: r["cluster"] for r in geo.dbscan(spark.createDataFrame(rows, "k long, la double, lo double"), "k", "la", "lo", km=3, least=4).collect()}
+    at = {}
+    for k, la, lo in rows:
+        at.setdefault((la, None if la is None else -180.0 if lo == 180.0 else lo), []).append(k)
+    small = {p: min(ks) for p, ks in at.items()}
+    first, second = min(small[0.0, -180.0], small[0.0, 179.99]), min(small[10.0, 10.0], small[10.02, 10.0])
+    # Core: the places of the first group; 10.0 and 10.02, with 401 and 403 points around; 10.04 has 2 and is reached from 10.02.
+    want = {p: first if p[0] == 0.0 else second if p[0] in (10.0, 10.02, 10.04) else -1 for p in at}
+    assert got == {k: want[p] for p, ks in at.items() for k in ks}
+    assert max(df.count() for df in held) < 30
