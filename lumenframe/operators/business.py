@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..llm.common import prepare, shared_folder, shuffle_parts, stored
 from .timeseries import period_of
 
 #: Segments by (recency score, frequency score).
@@ -304,21 +307,114 @@ def cross_sell(rules: DataFrame) -> DataFrame:
 # Recommendations
 
 
-def item_similarity(ratings: DataFrame, user: str, item: str, rating: str, most: int = 500) -> DataFrame:
-    """Cosine of item vectors over shared users. A user's items are an array; the items of a user with more than ``most`` are
-    dealt by hash into runs of about half of that, and each pair of runs is a cell of its own, so every pair is made once and
-    no cell holds much more than ``most`` items."""
-    per = ratings.groupBy(user, item).agg(F.avg(rating).alias("r"))
-    norms = per.groupBy(item).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    spread = per.groupBy(F.col(user).alias("_user")).agg(F.count("*").alias("n")).select("_user", F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("int").alias("runs"))
-    runs = per.join(spread, F.col(user).eqNullSafe(F.col("_user"))).withColumn("run", F.pmod(F.xxhash64(item), F.col("runs")).cast("int"))
-    placed = runs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).withColumns({"lower": F.least("run", "other"), "upper": F.greatest("run", "other")})
-    rows = placed.groupBy("_user", "lower", "upper").agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), "r", "run"))).alias("x")).where(F.size("x") > 1)
-    after = lambda k: F.filter(F.slice("x", k + 1, F.size("x")), lambda y: (F.col("lower") == F.col("upper")) | (y["run"] != F.element_at("x", k)["run"]))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda k: F.transform(after(k), lambda y: F.struct(F.element_at("x", k)["i"].alias("a"), y["i"].alias("b"), (F.element_at("x", k)["r"] * y["r"]).alias("p")))))
-    dots = rows.select(F.inline(pairs)).groupBy("a", "b").agg(F.sum("p").alias("dot"))
-    n = lambda s: norms.select(F.col(item).alias(s), F.col("norm").alias(f"norm_{s}"))
-    return dots.join(n("a"), "a").join(n("b"), "b").select("a", "b", F.try_divide("dot", F.col("norm_a") * F.col("norm_b")).alias("similarity"))
+def item_similarity(ratings: DataFrame, user: str, item: str, rating: str, most: int = 500, cell_items: int = 2_000_000) -> DataFrame:
+    """Cosine of item vectors over shared users; ratings without a user count for an item's norm only.
+
+    Pairs are never shuffled. Items lie in ranges, and a user's sorted basket goes once to each range that holds one of its items:
+    those items, and all that come after the first of them. A range adds up its pairs a million at a time. A range that gets more
+    than about ``cell_items`` items is split by the hash of a pair's second item, and baskets travel in runs of ``most`` items,
+    each run of first items with each of second ones, so neither a frequent item nor a long basket fills a task.
+    """
+    spark = ratings.sparkSession
+    prepare(spark)
+    dealt = ratings.where(F.col(item).isNotNull()).select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(rating).alias("r")).repartitionByRange(shuffle_parts(spark), "i")
+    per = dealt.withColumn("part", F.spark_partition_id()).groupBy("u", "i", "part").agg(F.avg("r").cast("double").alias("r"))
+    per = per.withColumn("ss", F.sum(F.col("r") * F.col("r")).over(Window.partitionBy("i"))).where(F.col("u").isNotNull())
+    whole = per.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", "part", "r", "ss"))).alias("x")).where(F.size("x") > 1)
+    numbered = F.transform("x", lambda e, at: F.struct(e["i"].alias("i"), e["part"].alias("part"), e["r"].alias("r"), e["ss"].alias("ss"), at.alias("at")))
+    baskets = stored(whole.select(numbered.alias("x")), shared_folder(spark, "baskets"))
+    spans = baskets.select("x", F.explode(F.array_distinct(F.col("x")["part"])).alias("part")).withColumn("first", F.array_position(F.col("x")["part"], F.col("part")).cast("int")).where(F.col("first") < F.size("x"))
+    loads = spans.groupBy("part").agg(F.sum(F.size("x") - F.col("first")).alias("n")).where(F.col("n") > cell_items).collect()
+    subs = F.coalesce(F.create_map(*[F.lit(v) for part, n in loads for v in (part, -(-n // cell_items))])[F.col("part")], F.lit(1)) if loads else F.lit(1)
+    cells = spans.withColumns({"left": F.filter("x", lambda e: e["part"] == F.col("part")), "right": F.slice("x", F.col("first") + 1, F.size("x")), "subs": subs.cast("int")}).drop("x")
+    cells = cells.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    cells = cells.withColumn("right", F.when(F.col("subs") > 1, F.filter("right", lambda e: F.pmod(F.xxhash64(e["i"]), F.col("subs")) == F.col("sub"))).otherwise(F.col("right"))).where(F.size("right") > 0)
+    for side in ("left", "right"):
+        cells = cells.withColumn("run", F.explode(F.sequence(F.lit(1), F.size(side), F.lit(most)))).withColumn(side, F.slice(side, F.col("run"), most))
+    cells = cells.where(F.element_at("right", -1)["at"] > F.col("left")[0]["at"])
+    fields = [F.col(side)[f].alias(f"{side}_{f}") for side in ("left", "right") for f in ("i", "r", "ss", "at")]
+    kind = ratings.schema[item].dataType
+    schema = T.StructType().add("a", kind).add("b", kind).add("similarity", "double")
+    return cells.select("part", "sub", *fields).groupBy("part", "sub").applyInArrow(_products(), schema)
+
+
+def _products(most_pairs: int = 1_000_000):
+    """For the runs of one cell: each pair of a first item and one further on in the same basket, once, with its cosine."""
+    import numpy as np
+    import pyarrow as pa
+
+    def similar(batches):
+        t = pa.Table.from_batches(batches)
+        lists = {c: pa.concat_arrays(t.column(c).chunks) for c in t.column_names if c not in ("part", "sub")}
+        flat = {c: x.flatten() for c, x in lists.items()}
+        number = lambda c: flat[c].cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        known = lambda c: flat[c].is_valid().to_numpy(zero_copy_only=False)
+        side = {}
+        for k in ("left", "right"):
+            coded = flat[f"{k}_i"].dictionary_encode()
+            code = coded.indices.to_numpy().astype(np.int64)
+            norm = np.full(len(coded.dictionary), np.nan)
+            told = np.zeros(len(norm), bool)
+            norm[code], told[code] = np.sqrt(number(f"{k}_ss")), known(f"{k}_ss")
+            size = lists[f"{k}_i"].value_lengths().to_numpy().astype(np.int64)
+            side[k] = coded.dictionary, code, norm, told, size, number(f"{k}_r"), known(f"{k}_r")
+        (names_a, code_a, norm_a, told_a, size_a, r_a, known_a), (names_b, code_b, norm_b, told_b, size_b, r_b, known_b) = side["left"], side["right"]
+        del t, lists
+        at_a, at_b = (flat[f"{k}_at"].to_numpy().astype(np.int64) for k in ("left", "right"))
+        wide = int(max(at_a.max(), at_b.max())) + 1
+        row_a, row_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
+        low = np.searchsorted(row_b * wide + at_b, row_a * wide + at_a, side="right")
+        count = np.cumsum(size_b)[row_a] - low
+        nulls = not (known_a.all() and known_b.all())
+
+        def made(of):
+            """Places in both sides of the pairs of some first items."""
+            n = count[of]
+            left = np.repeat(of, n)
+            return left, np.arange(len(left)) + np.repeat(low[of] - (np.cumsum(n) - n), n)
+
+        def rows(a, b, dot, any_known):
+            below = norm_a[a] * norm_b[b]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = dot / below
+            without = ~(any_known & told_a[a] & told_b[b]) | (below == 0)
+            return pa.RecordBatch.from_arrays([names_a.take(pa.array(a)), names_b.take(pa.array(b)), pa.array(value, mask=without)], names=["a", "b", "similarity"])
+
+        order = np.argsort(code_a, kind="stable")
+        done = np.cumsum(count[order])
+        ends = np.append(np.flatnonzero(np.diff(code_a[order])) + 1, len(order))
+        start, g = 0, 0
+        while start < len(order):
+            before = done[start - 1] if start else 0
+            g = max(g + 1, int(np.searchsorted(done[ends - 1], before + most_pairs, side="right")))
+            end, here = int(ends[g - 1]), order[start : ends[g - 1]]
+            pairs = done[end - 1] - before
+            start = end
+            if pairs > most_pairs:  # one item alone: its sums by second item
+                dot, seen, met = np.zeros(len(norm_b)), np.zeros(len(norm_b), np.int64), np.zeros(len(norm_b), np.int64)
+                turn = (np.cumsum(count[here]) - 1) // most_pairs
+                for some in np.split(here, np.flatnonzero(np.diff(turn)) + 1):
+                    left, right = made(some)
+                    both = known_a[left] & known_b[right]
+                    dot += np.bincount(code_b[right], np.where(both, r_a[left] * r_b[right], 0.0), len(dot))
+                    seen += np.bincount(code_b[right[both]], minlength=len(dot))
+                    met += np.bincount(code_b[right], minlength=len(dot))
+                b = np.flatnonzero(met)
+                yield rows(np.full(len(b), code_a[here[0]]), b, dot[b], seen[b] > 0)
+            elif pairs:
+                left, right = made(here)
+                key = code_a[left] * len(norm_b) + code_b[right]
+                place = np.argsort(key)
+                key = key[place]
+                first = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+                p, seen = (r_a[left] * r_b[right])[place], np.ones(len(first), bool)
+                if nulls:
+                    both = (known_a[left] & known_b[right])[place]
+                    p, seen = np.where(both, p, 0.0), np.logical_or.reduceat(both, first)
+                yield rows(*np.divmod(key[first], len(norm_b)), np.add.reduceat(p, first), seen)
+
+    similar.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return similar
 
 
 def popular_items(ratings: DataFrame, item: str, rating: str, top: int = 10) -> DataFrame:

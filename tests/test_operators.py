@@ -384,3 +384,33 @@ def test_clusters_of_many_points_at_one_place(spark, monkeypatch):
     want = {p: first if p[0] == 0.0 else second if p[0] in (10.0, 10.02, 10.04) else -1 for p in at}
     assert got == {k: want[p] for p, ks in at.items() for k in ks}
     assert max(df.count() for df in held) < 30
+
+
+def test_item_similarity_shuffles_no_pairs(spark, capsys):
+    ratings = [(f"u{i % 23}", f"p{(i * i + 7 * i) % 61:02}", None if i % 17 == 0 else float(i % 6)) for i in range(900)]
+    ratings += [("all", f"p{i:02}", 1.5) for i in range(61)] + [(None, f"p{i:02}", 3.0) for i in range(0, 61, 2)] + [("u1", None, 2.0), ("x", "lost", None), ("x", "p00", 0.0)]
+    df = spark.createDataFrame(ratings, "u string, i string, r double")
+    seen = {}
+    for u, i, r in ratings:
+        seen.setdefault((u, i), []).append(r)
+    mean = {k: sum(x) / len(x) if (x := [r for r in v if r is not None]) else None for k, v in seen.items() if k[1] is not None}
+    norm = {i: math.sqrt(sum(x)) if (x := [r * r for (_, j), r in mean.items() if j == i and r is not None]) else None for _, i in mean}
+    dots = {}
+    for (u, a), r in mean.items():
+        for (v, b), q in mean.items():
+            if u == v and u is not None and a < b:
+                dots.setdefault((a, b), []).append(None if r is None or q is None else r * q)
+    want = {p: sum(x) / norm[p[0]] / norm[p[1]] if (x := [y for y in v if y is not None]) and norm[p[0]] and norm[p[1]] else None for p, v in dots.items()}
+    for sizes in ({}, {"most": 7, "cell_items": 100}):
+        out = business.item_similarity(df, "u", "i", "r", **sizes)
+        rows = out.collect()
+        assert {(r["a"], r["b"]): r["similarity"] for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert want["lost", "p00"] is None
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(part" in plan and "hashpartitioning(a" not in plan
+    hot = business._products(3)
+    import pyarrow as pa
+
+    cell = [pa.RecordBatch.from_pydict({"part": [0], "sub": [0], "left_i": [[5]], "left_r": [[2.0]], "left_ss": [[4.0]], "left_at": [[0]], "right_i": [[6, 7]], "right_r": [[1.0, None]], "right_ss": [[4.0, 4.0]], "right_at": [[1, 2]]})] * 2
+    assert [r for b in hot(cell) for r in b.to_pylist()] == [{"a": 5, "b": 6, "similarity": 1.0}, {"a": 5, "b": 7, "similarity": None}]
