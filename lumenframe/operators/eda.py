@@ -6,6 +6,7 @@ Column-wise figures come from one wide aggregate that is turned into rows, so a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.order import in_ranges
 from .timeseries import resample
 
 #: Words in a column's name that mark personal data.
@@ -45,6 +47,39 @@ def stacked(df: DataFrame, columns: list[str], figures: dict[str, Callable[[str]
     return wide.select(F.inline(rows))
 
 
+def value_ranks(df: DataFrame, columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """A row per numeric column: its distinct values and exact percentiles, interpolated as ``percentile`` does.
+
+    No task holds a column's values: they are counted, the counts lie in stored ranges of (column, value), and only ranges that
+    hold a wanted rank are added up row by row.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, unique long, " + ", ".join(f"{k} double" for k in shares))
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(i)
+    counted = []
+    for those in kinds.values():
+        rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(columns[i]).alias("x")) for i in those]))).where(F.col("x").isNotNull())
+        counted.append(rows.groupBy("_c", "x").agg(F.count("*").alias("n")).select("_c", F.col("x").cast("double").alias("x"), "n"))
+    ranked = in_ranges(reduce(DataFrame.unionAll, counted), "_c", "x")
+    every = Window.partitionBy("_c")
+    parts = ranked.groupBy("_c", "_part").agg(F.sum("n").alias("_rows"), F.count("*").alias("_values"))
+    parts = parts.withColumns({"_before": F.sum("_rows").over(every.orderBy("_part")) - F.col("_rows"), "_last": F.sum("_rows").over(every) - 1, "unique": F.sum("_values").over(every)})
+    at = {k: F.col("_last") * F.lit(q) for k, q in shares.items()}
+    ends = [e(p).cast("long") for p in at.values() for e in (F.floor, F.ceil)]
+    held = reduce(lambda x, y: x | y, [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_rows")) for k in ends])
+    some = ranked.join(F.broadcast(parts.where(held).drop("_values")), ["_c", "_part"])
+    some = some.withColumn("_to", F.col("_before") + F.sum("n").over(Window.partitionBy("_c", "_part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    found = lambda k: F.max(F.when((F.col("_to") - F.col("n") <= k) & (k < F.col("_to")), F.col("x")))
+    wide = some.groupBy("_c", "_last", "unique").agg(*[found(k).alias(f"_e{j}") for j, k in enumerate(ends)])
+    figures = []
+    for j, (k, p) in enumerate(at.items()):
+        low, high = F.col(f"_e{2 * j}"), F.col(f"_e{2 * j + 1}")
+        figures.append(F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high).alias(k))
+    return wide.select(F.array(*[F.lit(c) for c in columns])[F.col("_c")].alias("column"), "unique", *figures)
+
+
 def schema_snapshot(df: DataFrame) -> DataFrame:
     rows = [(f.name, f.dataType.simpleString(), f.nullable, is_pii(f.name), i) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(rows, "column string, type string, nullable boolean, is_pii boolean, position int")
@@ -245,11 +280,12 @@ def missingness_patterns(df: DataFrame, column: str, by: str, min_rows: int = 25
 
 
 def outlier_explain(df: DataFrame, columns: list[str]) -> DataFrame:
-    from .transforms import bounds
-
-    fences = bounds(df, columns)
-    p = lambda q: lambda c: F.percentile(F.col(c).cast("double"), q)
-    return stacked(df, list(fences), {"lower": lambda c: F.max(F.lit(float(fences[c][0]))), "upper": lambda c: F.max(F.lit(float(fences[c][1]))), "p01": p(0.01), "p05": p(0.05), "p50": p(0.5), "p95": p(0.95), "p99": p(0.99)})
+    """Fences and percentiles, a row for each column that has values; the counted values are stored when it is called."""
+    names, shares = list(dict.fromkeys(columns)), {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    places = [str(i) for i in range(len(names))]
+    ranks = value_ranks(df.select(*[F.col(c).cast("double").alias(i) for i, c in zip(places, names)]), places, shares)
+    place, reach = F.col("column").cast("int"), 1.5 * (F.col("p75") - F.col("p25"))
+    return ranks.orderBy(place).select(F.array(*map(F.lit, names)).cast("array<string>")[place].alias("column"), (F.col("p25") - reach).alias("lower"), (F.col("p75") + reach).alias("upper"), "p01", "p05", "p50", "p95", "p99")
 
 
 def segment_deep_dive(df: DataFrame, group_by: str, columns: list[str] | None = None, limit: int = 250) -> DataFrame:

@@ -11,40 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.order import in_ranges
 from ..functions.text import PATTERNS
-from .eda import correlation, is_pii, missingness, numeric_columns, numeric_summary, outlier_scan, stacked, uniqueness_scan
-
-
-def value_ranks(df: DataFrame, columns: list[str], shares: dict[str, float]) -> DataFrame:
-    """A row per numeric column: its distinct values and exact percentiles, interpolated as ``percentile`` does.
-
-    No task holds a column's values: they are counted, the counts lie in stored ranges of (column, value), and only ranges that
-    hold a wanted rank are added up row by row.
-    """
-    kinds: dict[str, list[int]] = {}
-    for i, c in enumerate(columns):
-        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(i)
-    counted = []
-    for those in kinds.values():
-        rows = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(columns[i]).alias("x")) for i in those]))).where(F.col("x").isNotNull())
-        counted.append(rows.groupBy("_c", "x").agg(F.count("*").alias("n")).select("_c", F.col("x").cast("double").alias("x"), "n"))
-    ranked = in_ranges(reduce(DataFrame.unionAll, counted), "_c", "x")
-    every = Window.partitionBy("_c")
-    parts = ranked.groupBy("_c", "_part").agg(F.sum("n").alias("_rows"), F.count("*").alias("_values"))
-    parts = parts.withColumns({"_before": F.sum("_rows").over(every.orderBy("_part")) - F.col("_rows"), "_last": F.sum("_rows").over(every) - 1, "unique": F.sum("_values").over(every)})
-    at = {k: F.col("_last") * F.lit(q) for k, q in shares.items()}
-    ends = [e(p).cast("long") for p in at.values() for e in (F.floor, F.ceil)]
-    held = reduce(lambda x, y: x | y, [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_rows")) for k in ends])
-    some = ranked.join(F.broadcast(parts.where(held).drop("_values")), ["_c", "_part"])
-    some = some.withColumn("_to", F.col("_before") + F.sum("n").over(Window.partitionBy("_c", "_part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    found = lambda k: F.max(F.when((F.col("_to") - F.col("n") <= k) & (k < F.col("_to")), F.col("x")))
-    wide = some.groupBy("_c", "_last", "unique").agg(*[found(k).alias(f"_e{j}") for j, k in enumerate(ends)])
-    figures = []
-    for j, (k, p) in enumerate(at.items()):
-        low, high = F.col(f"_e{2 * j}"), F.col(f"_e{2 * j + 1}")
-        figures.append(F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high).alias(k))
-    return wide.select(F.array(*[F.lit(c) for c in columns])[F.col("_c")].alias("column"), "unique", *figures)
+from .eda import correlation, is_pii, missingness, numeric_columns, numeric_summary, outlier_scan, stacked, uniqueness_scan, value_ranks
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -368,6 +368,35 @@ def test_profile_ranks_values_without_holding_them(spark, capsys):
     assert quality.profile(df.select("d")).first()["unique"] == 13
 
 
+def ranked(values, q):
+    """The percentile of present values, interpolated between ranks."""
+    v = sorted(x for x in values if x is not None)
+    at = (len(v) - 1) * q
+    low, high = v[math.floor(at)], v[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+def test_outlier_explain_ranks_values_without_holding_them(spark, capsys):
+    import decimal
+
+    rows = [((i * 31 % 997) / 7 - 50 if i % 5 else None, decimal.Decimal(i % 17) / 4, str(i * 7919 % 1009), 1, None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "z double, e decimal(9,2), t string, one int, none double")
+    got = eda.outlier_explain(df, ["z", "one", "none", "t", "e"])
+    got.explain()
+    assert "percentile(" not in capsys.readouterr().out  # it keeps a map of all values of a column in one task
+    assert got.columns == ["column", "lower", "upper", "p01", "p05", "p50", "p95", "p99"]
+    out = got.collect()
+    assert [r["column"] for r in out] == ["z", "one", "t", "e"]
+    for r in out:
+        values = [None if x is None else float(x) for x in (row["zet".index(r["column"])] if r["column"] in "zet" else row[3] for row in rows)]
+        a, b = ranked(values, 0.25), ranked(values, 0.75)
+        want = {"lower": a - 1.5 * (b - a), "upper": b + 1.5 * (b - a), "p01": ranked(values, 0.01), "p05": ranked(values, 0.05), "p50": ranked(values, 0.5), "p95": ranked(values, 0.95), "p99": ranked(values, 0.99)}
+        assert {k: r[k] for k in want} == pytest.approx(want)
+    assert eda.outlier_explain(df.limit(0), ["z", "e"]).collect() == []
+    with pytest.raises(Exception):
+        eda.outlier_explain(df, ["nothing"])
+
+
 def test_clusters_of_many_points_at_one_place(spark, monkeypatch):
     sizes, held = geo._settled, []
     monkeypatch.setattr(geo, "_settled", lambda df: held.append(sizes(df)) or held[-1])
