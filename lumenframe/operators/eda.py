@@ -107,12 +107,17 @@ def uniqueness_scan(df: DataFrame, max_columns: int = 200) -> DataFrame:
     return out.select("column", "non_null", (F.col("rows") - F.col("non_null")).alias("null"), "unique", ratio.alias("unique_ratio"), (F.col("non_null") - F.col("unique")).alias("duplicates"), ((ratio >= 0.995) & (F.col("rows") == F.col("non_null")) & (F.col("rows") > 0)).alias("key_candidate"))
 
 
-def numeric_summary(df: DataFrame, max_columns: int = 25) -> DataFrame:
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, std, min and max, a row for each numeric column."""
     x = lambda c: F.col(c).cast("double")
-    return stacked(df, numeric_columns(df)[: clamp(max_columns, 1, 100)], {
-        "count": lambda c: F.count(c), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c)), "min": lambda c: F.min(x(c)),
-        "p25": lambda c: F.percentile(x(c), 0.25), "p50": lambda c: F.percentile(x(c), 0.5), "p75": lambda c: F.percentile(x(c), 0.75), "max": lambda c: F.max(x(c)),
-    })
+    return stacked(df, columns, {"count": lambda c: F.count(c), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c)), "min": lambda c: F.min(x(c)), "max": lambda c: F.max(x(c))})
+
+
+def numeric_summary(df: DataFrame, max_columns: int = 25) -> DataFrame:
+    """Moments and quartiles, a row for each numeric column; the quartiles' counted values are stored when it is called."""
+    names, shares = numeric_columns(df)[: clamp(max_columns, 1, 100)], {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    ranks = value_ranks(df, names, shares).drop("unique")
+    return moments(df, names).join(F.broadcast(ranks), "column", "left").select("column", "count", "mean", "std", "min", *shares, "max")
 
 
 def categorical_topk(df: DataFrame, k: int = 10, max_columns: int = 10, columns: list[str] | None = None) -> DataFrame:

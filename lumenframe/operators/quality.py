@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import PATTERNS
-from .eda import correlation, is_pii, missingness, numeric_columns, numeric_summary, outlier_scan, stacked, uniqueness_scan, value_ranks
+from .eda import correlation, is_pii, missingness, moments, numeric_columns, outlier_scan, stacked, uniqueness_scan, value_ranks
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def infer_semantic_types(df: DataFrame, least: float = 0.8) -> DataFrame:
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two profiles by column: means and deviations within 5 % match."""
-    pick = lambda df, s: numeric_summary(df, 100).select("column", F.col("mean").alias(f"mean_{s}"), F.col("std").alias(f"std_{s}"), F.col("count").alias(f"count_{s}"))
+    pick = lambda df, s: moments(df, numeric_columns(df)[:100]).select("column", F.col("mean").alias(f"mean_{s}"), F.col("std").alias(f"std_{s}"), F.col("count").alias(f"count_{s}"))
     both = pick(a, "a").join(pick(b, "b"), "column", "full")
     gap = lambda x: F.abs(F.col(f"{x}_a") - F.col(f"{x}_b")) <= 0.05 * F.abs(F.col(f"{x}_a"))
     return both.withColumn("matches", F.coalesce(gap("mean") & gap("std"), F.lit(False)))

@@ -397,6 +397,26 @@ def test_outlier_explain_ranks_values_without_holding_them(spark, capsys):
         eda.outlier_explain(df, ["nothing"])
 
 
+def test_numeric_summary_ranks_values_without_holding_them(spark, capsys):
+    import decimal
+
+    rows = [((i * 7919) % 1009 - 500, (i * 31 % 997) / 7 if i % 5 else None, None, "t", decimal.Decimal(i % 17) / 4, (1 << 60) + i % 3) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a int, b double, none float, d string, e decimal(9,2), f long")
+    got = eda.numeric_summary(df)
+    got.explain()
+    assert "percentile(" not in capsys.readouterr().out  # it keeps a map of all values of a column in one task
+    assert got.columns == ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    out = got.collect()
+    assert [r["column"] for r in out] == ["a", "b", "none", "e", "f"]
+    for r in out:
+        values = [None if x is None else float(x) for x in (row[df.columns.index(r["column"])] for row in rows)]
+        known = [x for x in values if x is not None]
+        want = {"count": len(known)} | ({"min": min(known), "p25": ranked(values, 0.25), "p50": ranked(values, 0.5), "p75": ranked(values, 0.75), "max": max(known)} if known else dict.fromkeys(["mean", "std", "min", "p25", "p50", "p75", "max"]))
+        assert {k: r[k] for k in want} == (pytest.approx(want) if known else want)
+    assert [(r["column"], r["count"], r["p50"]) for r in eda.numeric_summary(df.limit(0), 2).collect()] == [("a", 0, None), ("b", 0, None)]
+    assert eda.numeric_summary(df.select("d")).collect() == []
+
+
 def test_clusters_of_many_points_at_one_place(spark, monkeypatch):
     sizes, held = geo._settled, []
     monkeypatch.setattr(geo, "_settled", lambda df: held.append(sizes(df)) or held[-1])
